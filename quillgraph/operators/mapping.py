@@ -85,6 +85,11 @@ def field_triples(found: DataFrame, e: Entity) -> DataFrame:
     """doc_id, s, p, o, o_kind, datatype of one entity key's fields: an unpivot by the field map."""
     me = F.col("slug")
     row = lambda s, p, o, kind, datatype: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(datatype).cast("string").alias("datatype"))
+    # these take the field first: a lambda of two parameters would get the place in the array as its second
+    value_rows = lambda p: lambda x: row(me, p, x, "lit", "string")
+    out_rows = lambda p: lambda x: row(me, p, x, "iri", None)
+    in_rows = lambda p: lambda x: row(x, p, me, "iri", None)
+    of_kind = lambda k: lambda r: (F.lower(F.trim(F.coalesce(r["type"], F.lit("other")))) == k) & clean_name(r["target"]).isNotNull()
     parts = []
     for f in e.fields:
         text, items = _text("v", f.name), _items("v", f.name)
@@ -99,21 +104,21 @@ def field_triples(found: DataFrame, e: Entity) -> DataFrame:
         elif f.kind == "integer":
             parts.append(F.array(row(me, f.predicate, year(text).cast("string"), "lit", "integer")))
         elif f.kind == "list":
-            parts.append(F.transform(each, lambda x, p=f.predicate: row(me, p, x, "lit", "string")))
+            parts.append(F.transform(each, value_rows(f.predicate)))
         else:
             ends = other if f.kind.endswith("_list") else target
             way = f.kind.removesuffix("_list")
             if way in ("out", "both"):
-                parts.append(F.transform(ends, lambda x, p=f.predicate: row(me, p, x, "iri", None)))
+                parts.append(F.transform(ends, out_rows(f.predicate)))
             if way in ("in", "both"):
-                parts.append(F.transform(ends, lambda x, p=f.predicate: row(x, p, me, "iri", None)))
+                parts.append(F.transform(ends, in_rows(f.predicate)))
     if e.related:
         links = F.coalesce(F.expr("try_variant_get(v, '$.relationships', 'array<struct<target:string,type:string>>')"), F.array().cast("array<struct<target:string,type:string>>"))
         for kind, (p, both) in e.related.items():
-            own = F.filter(links, lambda r, k=kind: (F.lower(F.trim(F.coalesce(r["type"], F.lit("other")))) == k) & clean_name(r["target"]).isNotNull())
-            parts.append(F.transform(own, lambda r, p=p: row(me, p, slug(clean_name(r["target"])), "iri", None)))
+            ends = F.filter(F.transform(F.filter(links, of_kind(kind)), lambda r: slug(clean_name(r["target"]))), lambda x: x != "")
+            parts.append(F.transform(ends, out_rows(p)))
             if both:
-                parts.append(F.transform(own, lambda r, p=p: row(slug(clean_name(r["target"])), p, me, "iri", None)))
+                parts.append(F.transform(ends, in_rows(p)))
     alias = F.filter(F.transform(_items("v", "aliases"), clean_name), lambda x: x.isNotNull() & (x != F.col("name")))
     parts.append(F.transform(alias, lambda x: row(me, "alias", x, "lit", "string")))
     rows = found.where(F.col("key") == e.key).select("doc_id", F.explode(F.concat(*parts)).alias("t"))
