@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ._tables import pieces
 
@@ -84,6 +84,13 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked = links = at = 0
     heading = ""
+    opened: Counter[str] = Counter()  # of tags in the stack, so that a stray end tag costs no look through it
+    never: set[str] = set()  # raw tags that don't end any more
+
+    def pop_to(tag: str) -> None:
+        while (top := stack.pop()[0]) != tag:
+            opened[top] -= 1
+        opened[tag] -= 1
 
     def end() -> None:
         nonlocal linked
@@ -110,22 +117,22 @@ def blocks(page: str) -> list[Block]:
         if m["close"]:
             if tag in BLOCK:
                 end()
-                if any(s[0] == tag for s in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                if opened[tag]:
+                    pop_to(tag)
                 if tag[0] == "h" and tag[1:].isdigit():
                     heading = ""
                 links = 0
             elif tag == "a":
                 links = 0
-            elif any(s[0] == tag for s in stack):  # an inline element that was ruled out
-                while stack.pop()[0] != tag:
-                    pass
+            elif opened[tag]:  # an inline element that was ruled out
+                pop_to(tag)
             continue
         attrs = m["attrs"] or ""
         if tag in RAW:
             if not attrs.rstrip().endswith("/") or tag in ("script", "style", "textarea", "title"):
-                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)  # what is inside is no markup
+                close = None if tag in never else re.compile(rf"</{tag}\s*>", re.I).search(page, at)  # what is inside is no markup
+                if not close:
+                    never.add(tag)
                 at = close.end() if close else len(page) if tag in ("script", "style") else at
             continue
         if tag in VOID:
@@ -140,20 +147,22 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK:
             end()
             links = 0
-            for k in range(len(stack) - 1, -1, -1):  # unclosed siblings
+            for k in range(len(stack) - 1, -1, -1) if tag in ENDS or tag in BOX else ():  # unclosed siblings
                 if stack[k][0] in ENDS.get(tag, ()):
-                    del stack[k:]
+                    pop_to(stack[k][0])
                     break
                 if stack[k][0] in BOX:
                     if tag in BOX and stack[-1][0] == "p":
-                        stack.pop()
+                        pop_to("p")
                     break
             above = stack[-1] if stack else ("", False, False)
             if tag[0] == "h" and tag[1:].isdigit():
                 heading = tag
             if not attrs.rstrip().endswith("/"):
+                opened[tag] += 1
                 stack.append((tag, above[1] or boilerplate(tag, attrs, above[2]), above[2] or tag in ARTICLE))
         elif not above[1] and tag in ("span", "button", "label", "small", "ins") and boilerplate(tag, attrs, above[2]):
+            opened[tag] += 1
             stack.append((tag, True, above[2]))
     end()
     return out
@@ -172,28 +181,38 @@ def first_pass(b: Block) -> int:
     return OPEN
 
 
+def nearest(found: list[Block], labels: list[int], only_article: bool, edge: int) -> list[tuple[int, int]]:
+    """For each block the distance to the nearest decided block before it and that one's label; the edge's label (OPEN: none) if nothing decided comes between."""
+    out, last, label = [], -1, edge
+    for k, (b, x) in enumerate(zip(found, labels, strict=True)):
+        if only_article and not b.article:
+            last, label = k, edge
+            out.append((0, OPEN))
+            continue
+        out.append((k - last, label))
+        if x != OPEN:
+            last, label = k, x
+    return out
+
+
 def second_pass(found: list[Block]) -> list[int]:
+    """Labels of all blocks; linear in their number."""
     labels = [first_pass(b) for b in found]
     has_article = any(b.article for b in found)
     edge = GOOD if has_article else OPEN
+    before = nearest(found, labels, has_article, edge)
+    after = nearest(found[::-1], labels[::-1], has_article, edge)[::-1]
     out = []
-    for k, (b, x) in enumerate(zip(found, labels, strict=True)):
+    for b, x, back, ahead in zip(found, labels, before, after, strict=True):
         if has_article and not b.article:
             out.append(BAD)
             continue
         if x == OPEN:
-            near = []
-            for way in (-1, 1):
-                j = k + way
-                while 0 <= j < len(found) and labels[j] == OPEN and not (has_article and not found[j].article):
-                    j += way
-                inside = 0 <= j < len(found) and not (has_article and not found[j].article)
-                if inside or edge != OPEN:
-                    near.append((abs(j - k), -(labels[j] if inside else edge)))
+            near = [(distance, -label) for distance, label in (back, ahead) if label != OPEN]
             x = -min(near)[1] if near else OPEN
             if x == OPEN or x == BAD and b.article:
                 x = GOOD  # nothing decided anywhere; or between links inside an article
-            elif b.heading and near[-1][1] == -GOOD:
+            elif b.heading and ahead[1] == GOOD:
                 x = GOOD
         out.append(x)
     return out
@@ -211,12 +230,12 @@ def extracted(pages: DataFrame, html_col: str = "html", name: str = "text") -> D
     from pyspark.sql import types as T
 
     kept = [c for c in pages.columns if c not in (html_col, name)]
-    own = pages.select(*kept, F.col(html_col).alias("_html"))
+    own = pages.select(*kept, html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "_html"):
-                texts = pa.array([main_text(t.as_py()) for t in part.column("_html")], pa.string())
+            for part in pieces(batch, html_col):
+                texts = pa.array([main_text(t.as_py()) for t in part.column(html_col)], pa.string())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], texts], names=[*kept, name])
 
     return own.mapInArrow(run, T.StructType([*[own.schema[c] for c in kept], T.StructField(name, T.StringType())]))

@@ -49,7 +49,7 @@ def training_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(draw < share[F.col(lang_col)]).select(lang_col, F.col(id_col).cast("string").alias("i"), text_col).collect()
     out: dict[str, list[str]] = {}
-    for lang, _, text in sorted(sample, key=lambda r: (r[0], len(r[1]), r[1])):
+    for lang, _, text in sorted(sample, key=lambda r: (r[0], len(r[1] or ""), r[1] or "", r[2])):
         out.setdefault(lang, []).append(text)
     return out
 

@@ -47,6 +47,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Slack of the size bounds, so that rounding passes over no unit that reaches the threshold exactly.
+SLACK = 1e-9
 COMMON = frozenset("a an and any are as be by for from in is it may of on or that the this to with you not no without use form terms work program project released".split())
 
 
@@ -61,7 +63,7 @@ def bigrams_of(words: list[str]) -> list[str]:
 def picked(words: list[str], least: float = LEAST) -> list[str]:
     """Words of which a unit that reaches `least` has at least one: they stand in more bigrams than may be missing."""
     grams = bigrams_of(words)
-    may_miss = len(grams) * (1 - least / (2 - least))
+    may_miss = len(grams) * (1 - least / (2 - least)) + SLACK
     often = Counter(w for g in grams for w in set(g.split()))
     out, left = [], set(grams)
     for w in sorted(often, key=lambda w: (w in COMMON, len(w) == 1, -often[w], w)):
@@ -85,8 +87,8 @@ def bigrams(norm: Column) -> Column:
 def matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, unit (its normal form), licence, dice: each text's distinct units that reach `least`."""
     forms = [(name, bigrams_of(words_of(text)), picked(words_of(text), least)) for name, text in templates]
-    low = min(len(g) for _, g, _ in forms) * least / (2 - least)
-    high = max(len(g) for _, g, _ in forms) * (2 - least) / least
+    low = min(len(g) for _, g, _ in forms) * least / (2 - least) - SLACK
+    high = max(len(g) for _, g, _ in forms) * (2 - least) / least + SLACK
     some = "|".join(sorted({w for _, _, p in forms for w in p}))
     text = F.col("t")
     fits = lambda c: F.concat(F.lit(" "), normal(c), F.lit(" ")).rlike(f" (?:{some}) ")
@@ -98,7 +100,7 @@ def matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col:
     units = units.select("i", F.explode(F.array_distinct(F.transform(F.concat("p", whole), normal))).alias("unit")).where(F.length("unit") > 0)
     units = units.select("i", "unit", bigrams(F.col("unit")).alias("g")).where((F.size("g") >= low) & (F.size("g") <= high))
     held = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(name).alias("licence"), F.array(*[F.lit(x) for x in grams]).alias("b")) for k, (name, grams, _) in enumerate(forms)])
-    ratio = F.lit(least / (2 - least))
+    ratio = F.lit(least / (2 - least) - SLACK)
     near = F.filter(held, lambda t: (F.size("g") >= ratio * F.size(t["b"])) & (F.size(t["b"]) >= ratio * F.size("g")))
     dice = F.transform(near, lambda t: F.struct((2.0 * F.size(F.array_intersect("g", t["b"])) / (F.size("g") + F.size(t["b"]))).alias("dice"), (-t["k"]).alias("k"), t["licence"].alias("licence")))
     best = units.select("i", "unit", F.array_max(dice).alias("m")).where(F.col("m.dice") >= least)

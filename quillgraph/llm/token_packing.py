@@ -43,7 +43,7 @@ class Capacities:
             k >>= 1
 
     def take(self, least: int) -> tuple[int, int] | None:
-        """The smallest room of `least` or more and the first row that was given it."""
+        """The smallest room of `least` or more and, of the rows with it, the last one that was put there."""
         k, count = least + self.size, self.count
         if not count[k]:
             while k > 1 and (k & 1 or not count[k + 1]):
