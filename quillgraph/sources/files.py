@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +41,6 @@ def with_sidecars(files: DataFrame, sidecars: DataFrame) -> DataFrame:
 
 def parse_sidecars(texts: DataFrame) -> DataFrame:
     """document_id and value (a YAML text) to a map of its top-level entries as text; a broken text gives an empty map."""
-    import pandas as pd
-
     @F.pandas_udf("map<string,string>")
     def parsed(col: pd.Series) -> pd.Series:
         import yaml
@@ -86,7 +85,6 @@ def converted(files: DataFrame) -> DataFrame:
 
     def run(batches):
         import fitz
-        import pandas as pd
 
         for batch in batches:
             rows = []
