@@ -2,8 +2,8 @@
 
 Words are lower-case runs of letters and digits. Dice is 2 |A and B| / (|A| + |B|) over the distinct bigrams. Two sizes can reach a
 coefficient t only if each is at least t / (2 - t) of the other, so templates out of these bounds are passed over. A unit that matches holds
-at least that share of the template's bigrams; so for each template words are picked that stand in more of its bigrams than may be missing,
-and a unit with none of a template's picked words is passed over before any bigram is made.
+at least that share of the template's bigrams; so of each template one bigram more than may be missing is picked, rare ones first. Texts and
+lines that lack both words of all picked bigrams, and units without a picked bigram, are passed over before any other bigram is made.
 
 Only DataFrame functions, no shuffle. Nulls: null and empty texts have no units; null ids are kept; repeated rows are each reported; an
 empty table gives an empty table. A unit's best template counts; on a tie the first name.
@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,23 +62,38 @@ def bigrams_of(words: list[str]) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def picked(words: list[str], least: float = LEAST) -> list[str]:
-    """Words of which a unit that reaches `least` has at least one: they stand in more bigrams than may be missing."""
-    grams = bigrams_of(words)
-    may_miss = len(grams) * (1 - least / (2 - least)) + SLACK
-    often = Counter(w for g in grams for w in set(g.split()))
-    out, left = [], set(grams)
-    for w in sorted(often, key=lambda w: (w in COMMON, len(w) == 1, -often[w], w)):
-        if len(grams) - len(left) > may_miss:
-            break
-        if any(w in g.split() for g in left):
-            out.append(w)
-            left = {g for g in left if w not in g.split()}
-    return out
+def picked(words: list[str], least: float = LEAST) -> list[tuple[str, str]]:
+    """Bigrams of which a unit that reaches `least` holds at least one: one more than it may miss, those of rarer words first."""
+    grams = [tuple(g.split()) for g in bigrams_of(words)]
+    may_miss = int(len(grams) * (1 - least / (2 - least)) + SLACK)
+    often = Counter(w for g in grams for w in g)
+    weight = lambda w: (w in COMMON, len(w) < 4, len(w) == 1)
+    return sorted(grams, key=lambda g: (min(map(weight, g)), max(map(weight, g)), -often[g[0]] - often[g[1]], g))[: may_miss + 1]
 
 
-def normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+def by_rare_word(pairs: list[tuple[str, str]]) -> dict[str, list[str]]:
+    """The rarer word of each pair -> the words it stands beside."""
+    out: dict[str, set[str]] = {}
+    for a, b in pairs:
+        rare, other = sorted((a, b), key=lambda w: (w in COMMON, -len(w), w))
+        out.setdefault(rare, set()).add(other)
+    return {w: sorted(o) for w, o in sorted(out.items())}
+
+
+def holds_words(text: Column, beside: dict[str, list[str]]) -> Column:
+    """Whether a lower-case text has both words of some pair anywhere."""
+    return reduce(or_, [F.contains(text, F.lit(w)) & reduce(or_, [F.contains(text, F.lit(x)) for x in others]) for w, others in beside.items()])
+
+
+def holds_pairs(unit: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Whether a normal form has some pair as neighbours."""
+    padded = F.concat(F.lit(" "), unit, F.lit(" "))
+    return reduce(or_, [F.contains(padded, F.lit(f" {a} {b} ")) for a, b in pairs])
+
+
+def normal(low: Column) -> Column:
+    """Words of a lower-case text with single spaces between them."""
+    return F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "))
 
 
 def bigrams(norm: Column) -> Column:
@@ -89,15 +106,15 @@ def matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col:
     forms = [(name, bigrams_of(words_of(text)), picked(words_of(text), least)) for name, text in templates]
     low = min(len(g) for _, g, _ in forms) * least / (2 - least) - SLACK
     high = max(len(g) for _, g, _ in forms) * (2 - least) / least + SLACK
-    some = "|".join(sorted({w for _, _, p in forms for w in p}))
-    text = F.col("t")
-    fits = lambda c: F.concat(F.lit(" "), normal(c), F.lit(" ")).rlike(f" (?:{some}) ")
-    own = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    hit = F.filter(F.array_distinct(F.split(text, "\n")), fits)
-    parts = F.flatten(F.transform(hit, lambda u: F.concat(F.array(u), F.split(F.regexp_replace(u, r"([.!?])\s+", "$1\n"), "\n"))))
-    whole = F.when(text.contains("\n") & (F.length(text) <= WHOLE) & (F.size("p") > 0), F.array("t")).otherwise(F.array().cast("array<string>"))
-    units = own.where(F.col("t").isNotNull()).select("i", "t", parts.alias("p")).where(F.size("p") > 0)
-    units = units.select("i", F.explode(F.array_distinct(F.transform(F.concat("p", whole), normal))).alias("unit")).where(F.length("unit") > 0)
+    pairs = sorted({pair for _, _, p in forms for pair in p})
+    beside = by_rare_word(pairs)
+    # behind explode, a text is lowered once and the tests on it aren't pushed below that
+    texts = docs.select(F.col(id_col).alias("i"), F.explode(F.array(F.lower(text_col))).alias("t")).where(F.col("t").isNotNull() & holds_words(F.col("t"), beside))
+    lines = F.filter(F.array_distinct(F.split("t", "\n")), lambda u: holds_words(u, beside))
+    parts = F.flatten(F.transform(lines, lambda u: F.concat(F.array(u), F.split(F.regexp_replace(u, r"([.!?])\s+", "$1\n"), "\n"))))
+    whole = F.when(F.contains("t", F.lit("\n")) & (F.length("t") <= WHOLE), F.array("t")).otherwise(F.array().cast("array<string>"))
+    found = F.filter(F.array_distinct(F.transform(F.concat(parts, whole), normal)), lambda u: holds_pairs(u, pairs))
+    units = texts.select("i", F.explode(found).alias("unit"))
     units = units.select("i", "unit", bigrams(F.col("unit")).alias("g")).where((F.size("g") >= low) & (F.size("g") <= high))
     held = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(name).alias("licence"), F.array(*[F.lit(x) for x in grams]).alias("b")) for k, (name, grams, _) in enumerate(forms)])
     ratio = F.lit(least / (2 - least) - SLACK)
