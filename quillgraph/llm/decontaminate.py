@@ -1,8 +1,9 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into passages of PASSAGE characters (shorter items are one passage), each STRIDE characters, so that a part of an
-item is found as well. A passage of m characters with k edits at most shares m - q + 1 - k * q of its q-grams with its copy, on
-diagonals (place in the text less place in the passage) that lie within k of each other. So:
+Benchmark items are cut into passages of PASSAGE characters (shorter items are one passage), each STRIDE characters, and again into passages
+of QUOTE characters, each STEP characters and with fewer edits, so that a part of an item is found as well: any QUOTE + STEP - 1 characters
+in a row of an item hold a whole passage. A passage of m characters with k edits at most shares m - q + 1 - k * q of its q-grams with its
+copy, on diagonals (place in the text less place in the passage) that lie within k of each other. So:
 
 1. q-grams of the text that stand in any passage are marked; only stretches with enough marks for some passage are looked at;
 2. their marks are counted by passage and by overlapping bands of diagonals, each copy's diagonals being in one band at least;
@@ -29,8 +30,12 @@ from ._tables import pieces, ragged
 
 Q = 8
 PASSAGE, STRIDE = 100, 50
+#: The same for short quotes of a longer item.
+QUOTE, STEP = 70, 8
 #: Edits for each character of a passage.
 EDITS = 0.08
+#: The same for a short quote: it says less, so fewer edits are let pass.
+QUOTE_EDITS = 0.03
 BLOCK = 4_000_000
 BITS = 22
 OTHER = regex.compile(r"[^\p{L}\p{N}]+")
@@ -57,44 +62,69 @@ def grams(codes: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def starts_of(size: int, length: int, stride: int) -> list[int]:
+    return [0] if size <= length else [*range(0, size - length, stride), size - length]
+
+
 @dataclass
 class Index:
-    """Passages of one block of items, and the places of their q-grams by hash."""
+    """Passages of one block of items, and the places of the items' q-grams by hash.
+
+    The items' characters stand one item after another in `codes`; kind[j]:kind[j + 1] are the passages of the j-th length, by their start there.
+    """
 
     items: np.ndarray
-    offsets: np.ndarray
-    chars: list[np.ndarray]
+    start: np.ndarray
+    size: np.ndarray
     need: np.ndarray
     budget: np.ndarray
+    kind: list[int]
+    codes: np.ndarray
     hashes: np.ndarray
     first: np.ndarray
-    passage: np.ndarray
     place: np.ndarray
+    base: np.ndarray
     table: np.ndarray
 
     @classmethod
     def build(cls, items: list[tuple[int, str]], edits: float = EDITS) -> Index:
-        own, off, chars = [], [], []
-        for item, text in items:
-            codes = codes_of(normal(text))
-            if len(codes) < Q:
-                continue
-            starts = [0] if len(codes) <= PASSAGE else [*range(0, len(codes) - PASSAGE, STRIDE), len(codes) - PASSAGE]
-            for s in starts:
-                own.append(item)
-                off.append(s)
-                chars.append(codes[s : s + PASSAGE])
-        size = np.array([len(c) for c in chars], dtype=np.int64)
-        budget = np.minimum((edits * size).astype(np.int64), np.maximum(size - Q, 0) // Q)
-        each = [grams(c) for c in chars]
+        forms = [(item, codes_of(normal(text))) for item, text in items]
+        forms = [(item, codes) for item, codes in forms if len(codes) >= Q]
+        bases = np.cumsum([0, *(len(codes) for _, codes in forms)])
+        own, start, size, kind = [], [], [], [0]
+        for length, stride in ((PASSAGE, STRIDE), (QUOTE, STEP)):
+            for (item, codes), b in zip(forms, bases.tolist()):
+                if length == PASSAGE or len(codes) > length:  # a shorter item is one passage already
+                    for s in starts_of(len(codes), length, stride):
+                        own.append(item)
+                        start.append(b + s)
+                        size.append(min(length, len(codes)))
+            kind.append(len(own))
+        size = np.array(size, dtype=np.int64)
+        rate = np.where(np.arange(len(size)) < kind[1], edits, min(edits, QUOTE_EDITS))
+        budget = np.minimum((rate * size).astype(np.int64), np.maximum(size - Q, 0) // Q)
+        each = [grams(codes) for _, codes in forms]
         h = np.concatenate(each) if each else np.zeros(0, dtype=np.uint64)
-        passage = np.repeat(np.arange(len(chars)), [len(e) for e in each])
-        place = ragged(np.zeros(len(chars), dtype=np.int64), np.array([len(e) for e in each], dtype=np.int64))
+        counts = np.array([len(e) for e in each], dtype=np.int64)
+        place, base = ragged(bases[:-1], counts), np.repeat(bases[:-1], counts)
         order = np.argsort(h, kind="stable")
         hashes, first = np.unique(h[order], return_index=True)
         table = np.zeros(1 << BITS, dtype=bool)
         table[(hashes >> np.uint64(64 - BITS)).astype(np.int64)] = True
-        return cls(np.array(own, dtype=np.int64), np.array(off, dtype=np.int64), chars, size - Q + 1 - budget * Q, budget, hashes, np.append(first, len(h)), passage[order], place[order], table)
+        codes = np.concatenate([c for _, c in forms]) if forms else np.zeros(0, dtype=np.uint32)
+        return cls(np.array(own, dtype=np.int64), np.array(start, dtype=np.int64), size, size - Q + 1 - budget * Q, budget, kind, codes, hashes, np.append(first, len(h)), place[order], base[order], table)
+
+    def holding(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Passages that hold the q-gram of each entry, and for each of them the entry's number."""
+        passage, which = [], []
+        place, base = self.place[entry], self.base[entry]
+        for (low, high), length in zip(zip(self.kind, self.kind[1:]), (PASSAGE, QUOTE)):
+            own = self.start[low:high]
+            begin = np.searchsorted(own, np.maximum(place - length + Q, base))
+            n = np.searchsorted(own, place, side="right") - begin
+            passage.append(ragged(begin + low, n))
+            which.append(np.repeat(np.arange(len(entry)), n))
+        return np.concatenate(passage), np.concatenate(which)
 
     def matches(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
         """passage, start, end, edits of verified copies in one run of characters."""
@@ -121,7 +151,8 @@ class Index:
         at, row = at[dense], row[dense]
         n = self.first[row + 1] - self.first[row]
         entry = ragged(self.first[row], n)
-        passage, diagonal = self.passage[entry], np.repeat(at, n) - self.place[entry]
+        passage, which = self.holding(entry)
+        diagonal = np.repeat(at, n)[which] - self.place[entry][which] + self.start[passage]
         width = int(self.budget.max()) + 1  # bands of twice this width, by this step: any k + 1 diagonals are inside one
         low = np.floor_divide(diagonal, width)
         offset = int(low.min()) - 1
@@ -136,11 +167,9 @@ class Index:
         far = np.int64(1 << 20)
         for s in range(0, len(passages), 4096):
             p, d = passages[s : s + 4096], diagonals[s : s + 4096]
-            size = np.array([len(self.chars[i]) for i in p])
+            size = self.size[p]
             most = int(size.max())
-            pattern = np.zeros((len(p), most), dtype=np.uint32)
-            for k, i in enumerate(p.tolist()):
-                pattern[k, : size[k]] = self.chars[i]
+            pattern = self.codes[np.minimum(self.start[p][:, None] + np.arange(most)[None, :], len(self.codes) - 1)]
             places = d[:, None] + np.arange(most + width)[None, :]
             inside = (places >= 0) & (places < len(codes))
             text = np.where(inside, codes[np.clip(places, 0, len(codes) - 1)], np.uint32(0xFFFFFFFF))

@@ -99,6 +99,18 @@ def test_passages_of_two_texts_are_not_joined(spark):
     assert leaks(spark, [(1, x[: len(x) // 2]), (2, x[len(x) // 2 :])], [(0, x)]) == set()
 
 
+def test_short_quotes_at_any_offset(spark):
+    """Every part of a longer item of QUOTE + STEP - 1 characters is found, whatever its offset; so is one with edits, and a shorter one isn't."""
+    rng = np.random.default_rng(7)
+    item = prose(rng, 60)
+    least = decontaminate.QUOTE + decontaminate.STEP - 1
+    docs = [(s, prose(rng, 8) + " - " + item[s : s + least] + " - " + prose(rng, 8)) for s in range(0, len(item) - least + 1) if item[s] != " " != item[s + least - 1]]
+    docs += [(1000 + n, prose(rng, 8) + ", " + item[40 : 40 + n].strip() + ", " + prose(rng, 8)) for n in (100, 120, 140)]
+    quote = item[100 : 100 + least + 15].strip()
+    docs += [(2000, quote[:30] + "w" + quote[31:60] + quote[61:]), (2001, item[40:90])]
+    assert leaks(spark, docs, [(5, item), (6, prose(rng, 50))]) == {(i, 5) for i, _ in docs if i != 2001}
+
+
 # ---- licences
 
 
