@@ -4,7 +4,9 @@ A page is cut into blocks at block-level tags; a block knows the regions it is i
 adverts, forms, comments (by tag, role, class or id), scripts, styles and templates goes. First pass: each block is classified by its share of
 stop words, its length and its share of linked text as good, bad or undecided (too short, or neither). Second pass: an undecided block takes
 the label of its nearest decided neighbours; if they differ, the nearer one's, on a tie good. The edges of an article (article or main
-element) count as good neighbours, the edges of a page without one don't count, and a block of an article is bad only if it is mostly links.
+element) count as good neighbours, the edges of a page without one don't count, and a block of an article is bad only if it is mostly links. An
+article rules out no good block beside it: if it holds half of the good text or more, only the good ones of the blocks beside it stay, else
+these are labelled by their neighbours beside it as on a page without one.
 
 Character references are decoded, white space in a block is one space, blocks are joined by a newline. Nothing else is dropped or cut.
 Nulls: null and empty pages give an empty text. Broken markup is read as far as it goes: unclosed tags end where their parents end.
@@ -181,6 +183,15 @@ def first_pass(b: Block) -> int:
     return OPEN
 
 
+def beside(found: list[Block], labels: list[int]) -> list[int]:
+    """Labels of the blocks that are in no article of a page that has one."""
+    out = [k for k, b in enumerate(found) if not b.article]
+    good = sum(len(b.text) * (-1 if b.article else 1) for b, x in zip(found, labels, strict=True) if x == GOOD)
+    if good <= 0:
+        return [x if x == GOOD else BAD for x in (labels[k] for k in out)]
+    return by_neighbours([found[k] for k in out], [labels[k] for k in out], False)
+
+
 def nearest(found: list[Block], labels: list[int], only_article: bool, edge: int) -> list[tuple[int, int]]:
     """For each block the distance to the nearest decided block before it and that one's label; the edge's label (OPEN: none) if nothing decided comes between."""
     out, last, label = [], -1, edge
@@ -195,17 +206,16 @@ def nearest(found: list[Block], labels: list[int], only_article: bool, edge: int
     return out
 
 
-def second_pass(found: list[Block]) -> list[int]:
-    """Labels of all blocks; linear in their number."""
-    labels = [first_pass(b) for b in found]
-    has_article = any(b.article for b in found)
+def by_neighbours(found: list[Block], labels: list[int], has_article: bool) -> list[int]:
+    """Labels of all blocks; linear in their number. With an article, those beside it come from beside()."""
     edge = GOOD if has_article else OPEN
     before = nearest(found, labels, has_article, edge)
     after = nearest(found[::-1], labels[::-1], has_article, edge)[::-1]
+    others = iter(beside(found, labels) if has_article else ())
     out = []
     for b, x, back, ahead in zip(found, labels, before, after, strict=True):
         if has_article and not b.article:
-            out.append(BAD)
+            out.append(next(others))
             continue
         if x == OPEN:
             near = [(distance, -label) for distance, label in (back, ahead) if label != OPEN]
@@ -218,6 +228,10 @@ def second_pass(found: list[Block]) -> list[int]:
     return out
 
 
+def second_pass(found: list[Block]) -> list[int]:
+    return by_neighbours(found, [first_pass(b) for b in found], any(b.article for b in found))
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""

@@ -244,6 +244,16 @@ def test_pages_second_pass():
     assert html_extract.main_text(page) == f"{ARTICLE}\nnear\n{ARTICLE}"
 
 
+def test_pages_good_text_beside_an_article():
+    """An article element elsewhere on the page takes no main text away."""
+    links = "<div><a href=1>one two three four</a> <a href=2>five six</a></div>"
+    card = "<article><h3>Teaser</h3><p>Short.</p></article>"
+    page = f"<body>{links}<section><h1>Title</h1><div>{ARTICLE}</div><div>near</div><div>{ARTICLE}</div></section>{card}{links}</body>"
+    assert html_extract.main_text(page) == f"Title\n{ARTICLE}\nnear\n{ARTICLE}\nTeaser\nShort."
+    page = f"<body>{links}<div>tiny</div><div>{ARTICLE}</div><article><p>{ARTICLE}</p><p>{ARTICLE}</p></article><div>low</div>{links}</body>"
+    assert html_extract.main_text(page) == f"{ARTICLE}\n{ARTICLE}\n{ARTICLE}"
+
+
 def test_pages_table(spark):
     rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, None, None), (2, "v", "<article>" + "<p>word the of and</p>" * 50_000 + "</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(0), "_html": F.lit(0)})
