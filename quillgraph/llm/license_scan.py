@@ -1,10 +1,12 @@
-"""Licence scanning: lines, sentences and whole texts against licence templates by the Dice coefficient over word bigrams.
+"""Licence scanning: lines, sentences, paragraphs and whole texts against licence templates by the Dice coefficient over word bigrams.
 
 Words are lower-case runs of letters and digits. Dice is 2 |A and B| / (|A| + |B|) over the distinct bigrams. Two sizes can reach a
 coefficient t only if each is at least t / (2 - t) of the other, so templates out of these bounds are passed over. A unit that matches holds
 at least that share of the template's bigrams; so of each template one bigram more than may be missing is picked, rare ones first. Texts and
 lines that lack both words of all picked bigrams, and units without a picked bigram, are passed over before any other bigram is made.
 
+Units that go over line ends are paragraphs (up to a line without a letter or digit) and the sentences of paragraphs, for wrapped notices.
+
 Only DataFrame functions, no shuffle. Nulls: null and empty texts have no units; null ids are kept; repeated rows are each reported; an
 empty table gives an empty table. A unit's best template counts; on a tie the first name.
 """
@@ -112,8 +114,11 @@ def matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col:
     texts = docs.select(F.col(id_col).alias("i"), F.explode(F.array(F.lower(text_col))).alias("t")).where(F.col("t").isNotNull() & holds_words(F.col("t"), beside))
     lines = F.filter(F.array_distinct(F.split("t", "\n")), lambda u: holds_words(u, beside))
     parts = F.flatten(F.transform(lines, lambda u: F.concat(F.array(u), F.split(F.regexp_replace(u, r"([.!?])\s+", "$1\n"), "\n"))))
+    wrapped = F.filter(F.split("t", r"\n(?:[^\p{L}\p{N}\n]*(?:\n|$))+"), lambda u: F.contains(u, F.lit("\n")) & holds_words(u, beside))
+    over = F.flatten(F.transform(wrapped, lambda u: F.concat(F.array(u), F.split(u, r"(?<=[.!?])(?=\s)"))))
+    over = F.filter(over, lambda u: F.contains(F.btrim(u, F.lit(" \t\r\n")), F.lit("\n")))
     whole = F.when(F.contains("t", F.lit("\n")) & (F.length("t") <= WHOLE), F.array("t")).otherwise(F.array().cast("array<string>"))
-    found = F.filter(F.array_distinct(F.transform(F.concat(parts, whole), normal)), lambda u: holds_pairs(u, pairs))
+    found = F.filter(F.array_distinct(F.transform(F.concat(parts, over, whole), normal)), lambda u: holds_pairs(u, pairs))
     units = texts.select("i", F.explode(found).alias("unit"))
     units = units.select("i", "unit", bigrams(F.col("unit")).alias("g")).where((F.size("g") >= low) & (F.size("g") <= high))
     held = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(name).alias("licence"), F.array(*[F.lit(x) for x in grams]).alias("b")) for k, (name, grams, _) in enumerate(forms)])

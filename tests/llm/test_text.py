@@ -148,6 +148,24 @@ def test_licences_brute(spark):
     assert license_scan.matches(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("start", ["", "# "])
+def test_licences_wrapped_notices(spark, start):
+    """A notice over several lines is found between paragraphs, and as a sentence inside one."""
+    import textwrap
+
+    rng = np.random.default_rng(9)
+    long = [(k, name, t) for k, (name, t) in enumerate(license_scan.TEMPLATES) if len(t) > 130]
+    docs = []
+    for k, _, t in long:
+        notice = "\n".join(start + x for x in textwrap.wrap(t, 50))
+        docs.append((k, f"{prose(rng, 90)}\n{start.strip()}\n{notice}\n{start.strip()}\n{prose(rng, 90)}"))
+        inside = "\n".join(start + x for x in textwrap.wrap(f"{prose(rng, 60)}. {t.rstrip('.')}. {prose(rng, 60)}", 50))
+        docs.append((100 + k, f"{prose(rng, 40)}\n{inside}"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r["doc_id"], r["licence"]) for r in license_scan.matches(df).collect()}
+    assert len(long) == 3 and found >= {(i, name) for k, name, _ in long for i in (k, 100 + k)}
+
+
 # ---- URLs
 
 
