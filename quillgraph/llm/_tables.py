@@ -53,8 +53,10 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable
 
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts have about `most` bytes; a longer text is a slice of its own."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    """Slices of a batch whose texts have about `most` bytes (whose lists have so many values); a longer one is a slice of its own."""
+    values = batch.column(column)
+    length = pc.list_value_length if pa.types.is_list(values.type) or pa.types.is_large_list(values.type) else pc.binary_length
+    sizes = np.asarray(pc.fill_null(length(values), 0), dtype=np.int64)
     start, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if i > start and total + n > most:
@@ -65,19 +67,46 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Itera
         yield batch.slice(start)
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def plain(texts: pa.Array) -> pa.Array:
+    """A copy as large strings, nulls as empty texts. It begins at the first row of its own buffers: kernels misread some casts of slices."""
+    texts = texts.cast(pa.string()) if not (pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type)) else texts
+    copied = pa.concat_arrays([texts, pa.array([""], texts.type)])  # of one array it would give that array
+    return pc.fill_null(copied, "").cast(pa.large_string()).slice(0, len(texts))
+
+
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """The words between ASCII white space: a code for each word, the first code of each text (one more at the end), and the distinct words.
 
     A null text has no words.
     """
-    parts = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+    parts = pc.ascii_split_whitespace(plain(texts))
     offsets = np.asarray(parts.offsets, dtype=np.int64)
     flat = parts.values.slice(offsets[0], offsets[-1] - offsets[0])
     offsets = offsets - offsets[0]
     full = np.asarray(pc.greater(pc.binary_length(flat), 0), dtype=bool)  # white space at either end leaves empty parts
     seen = np.concatenate([[0], np.cumsum(full)])
-    coded = flat.filter(pa.array(full)).dictionary_encode()
-    return np.asarray(coded.indices, dtype=np.int64), seen[offsets], coded.dictionary.to_pylist()
+    found = flat.filter(pa.array(full)).dictionary_encode()
+    return np.asarray(found.indices, dtype=np.int64), seen[offsets], found.dictionary
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """As coded(), with the distinct words as a list."""
+    codes, first, distinct = coded(texts)
+    return codes, first, in_lines(distinct).split("\n") if len(distinct) else []
+
+
+def in_lines(values: pa.Array) -> str:
+    """Large strings without nulls, a line end between two."""
+    if not len(values):
+        return ""
+    data, offsets = bytes_of(pc.binary_join_element_wise(values, pa.scalar("", values.type), pa.scalar("\n", values.type)))
+    return data[offsets[0] : offsets[-1] - 1].tobytes().decode()
+
+
+def bytes_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of large strings or binaries without nulls, and where each value's begin (one more at the end)."""
+    offsets = np.frombuffer(array.buffers()[1], dtype=np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, dtype=np.int64)
+    return np.frombuffer(array.buffers()[2] or b"", dtype=np.uint8), offsets
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import Cut, pieces, ragged
+from ._tables import Cut, pieces, plain, ragged
 from .components import connected_components
 
 SEED = 42
@@ -106,7 +106,7 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def fingerprints_of(texts: pa.Array, width: int = 3) -> np.ndarray:
     """Fingerprints of whole texts: A-Z lowered, words between ASCII white space, shingles of `width` words, repeats included."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    parts = pc.ascii_split_whitespace(plain(texts))
     offsets = np.asarray(parts.offsets, dtype=np.int64)
     flat = parts.values.slice(offsets[0], offsets[-1] - offsets[0])
     offsets = offsets - offsets[0]
@@ -124,6 +124,7 @@ def fingerprints_of(texts: pa.Array, width: int = 3) -> np.ndarray:
     text = np.ones(len(data), dtype=bool)
     text[ends] = False
     data[text] = raw[start : start + int(sizes.sum())]
+    data[(data >= ord("A")) & (data <= ord("Z"))] += 32  # no byte of a longer UTF-8 character is in this range
     shingles = np.where(n_words >= width, n_words - width + 1, np.minimum(n_words, 1))
     at = ragged(first[:-1], shingles)
     last = at + np.repeat(np.minimum(np.maximum(n_words, 1), width) - 1, shingles)

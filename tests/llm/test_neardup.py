@@ -108,6 +108,21 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_fingerprints_of_slices():
+    """Every slice of a batch, with nulls, gives the fingerprints of its own texts."""
+    import pyarrow as pa
+
+    texts = [None if k % 11 == 5 else f"Wörter und WORDS {k} " * (k % 5) + "ÉCOLE END" for k in range(60)]
+    want = [brute_fingerprint(t) for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        whole = pa.array(texts, kind)
+        for start, n in [(0, 60), (1, 59), (7, 13), (33, 1), (59, 1), (20, 0)]:
+            got = simhash.fingerprints_of(whole.slice(start, n)).tolist()
+            assert got == want[start : start + n], (kind, start, n)
+            inner = whole.slice(start).slice(0, n).filter(pa.array([k % 2 == 0 for k in range(n)], pa.bool_()))
+            assert simhash.fingerprints_of(inner).tolist() == want[start : start + n : 2]
+
+
 def near_texts(seed, n=120):
     rng = np.random.default_rng(seed)
     vocab = [f"w{k}É" if k % 7 == 0 else f"Word{k}" for k in range(60)] + ["x" * 50]
