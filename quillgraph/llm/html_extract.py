@@ -4,8 +4,8 @@ A page is cut into blocks at block-level tags; a block knows the regions it is i
 adverts, forms, comments (by tag, role, class or id), scripts, styles and templates goes. First pass: each block is classified by its share of
 stop words, its length and its share of linked text as good, bad or undecided (too short, or neither). Second pass: an undecided block takes
 the label of its nearest decided neighbours; if they differ, the nearer one's, on a tie good. The edges of an article (article or main
-element) count as good neighbours, the edges of a page without one don't count, and a block of an article is bad only if it is mostly links. An
-article rules out no good block beside it: if it holds half of the good text or more, only the good ones of the blocks beside it stay, else
+element) count as good neighbours, the edges of a page without one don't count. So inside an article link lists go, with what is short between
+them, and in an article too short or too strange for the first pass all stays. An article rules out no good block beside it: if it holds half of the good text or more, only the good ones of the blocks beside it stay, else
 these are labelled by their neighbours beside it as on a page without one.
 
 Character references are decoded, white space in a block is one space, blocks are joined by a newline. Nothing else is dropped or cut.
@@ -220,8 +220,8 @@ def by_neighbours(found: list[Block], labels: list[int], has_article: bool) -> l
         if x == OPEN:
             near = [(distance, -label) for distance, label in (back, ahead) if label != OPEN]
             x = -min(near)[1] if near else OPEN
-            if x == OPEN or x == BAD and b.article:
-                x = GOOD  # nothing decided anywhere; or between links inside an article
+            if x == OPEN:
+                x = GOOD  # nothing decided anywhere
             elif b.heading and ahead[1] == GOOD:
                 x = GOOD
         out.append(x)
@@ -232,6 +232,12 @@ def second_pass(found: list[Block]) -> list[int]:
     return by_neighbours(found, [first_pass(b) for b in found], any(b.article for b in found))
 
 
+def judged(page: str) -> list[tuple[Block, int, int]]:
+    """Each block with its label after the first and after the second pass."""
+    found = blocks(page)
+    return list(zip(found, [first_pass(b) for b in found], second_pass(found), strict=True))
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""

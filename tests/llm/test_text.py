@@ -272,6 +272,80 @@ def test_pages_good_text_beside_an_article():
     assert html_extract.main_text(page) == f"{ARTICLE}\n{ARTICLE}\n{ARTICLE}"
 
 
+def brute_labels(found):
+    """The labels by the rules as they are stated, each block looking both ways for itself."""
+    first = [html_extract.first_pass(b) for b in found]
+    has = any(b.article for b in found)
+
+    def inherited(k, seq, edge):
+        near = []
+        for step in (-1, 1):
+            j, x = k + step, 0
+            while 0 <= j < len(seq) and seq[j] is not None and not first[seq[j]]:
+                j += step
+            inside = 0 <= j < len(seq) and seq[j] is not None
+            x = first[seq[j]] if inside else edge
+            if x:
+                near.append((abs(j - k), -x))
+        x = -min(near)[1] if near else 1
+        return x
+
+    def decide(seq, edge):
+        out = {}
+        for k, b in enumerate(seq):
+            if b is not None:
+                x = first[b] or inherited(k, seq, edge)
+                ahead = next((first[c] if c is not None else edge for c in seq[k + 1 :] if c is None or first[c]), edge)
+                out[b] = 1 if not first[b] and found[b].heading and ahead == 1 else x
+        return out
+
+    if not has:
+        return list(map(decide(list(range(len(found))), 0).get, range(len(found))))
+    labels = decide([k if b.article else None for k, b in enumerate(found)], 1)
+    outer = [k for k, b in enumerate(found) if not b.article]
+    good = [sum(len(b.text) for b, x in zip(found, first, strict=True) if x == 1 and b.article == a) for a in (True, False)]
+    labels |= decide(outer, 0) if good[1] > good[0] else {k: 1 if first[k] == 1 else -1 for k in outer}
+    return list(map(labels.get, range(len(found))))
+
+
+def some_page(rng):
+    """A page of text, short lines and link lists, inside and outside of article elements."""
+    words = ARTICLE.split()
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    kinds = [lambda: f"<p>{text(rng.randint(20, 60))}</p>", lambda: f"<p>{text(rng.randint(1, 4))}</p>", lambda: f"<h2>{text(2)}</h2>", lambda: "<p>" + "".join(f"<a href=1>{text(3)}</a> " for _ in range(4)) + "</p>", lambda: f"<div>{text(3)} <a>{text(2)}</a> {text(2)}</div>", lambda: "<p>" + "xkrv qtzw " * 20 + "</p>"]
+    some = lambda: "".join(rng.choice(kinds)() for _ in range(rng.randint(0, 6)))
+    return "<body>" + "".join(some() if rng.random() < 0.6 else f"<article>{some()}</article>" for _ in range(rng.randint(1, 4))) + "</body>"
+
+
+def test_pages_brute():
+    import random
+
+    by_pass = {"first": 0, "second, not as its region": 0}
+    for seed in range(400):
+        found = html_extract.judged(some_page(random.Random(seed)))
+        assert [x for _, _, x in found] == brute_labels([b for b, _, _ in found]), seed
+        by_pass["first"] += sum(f != 0 for _, f, _ in found)
+        by_pass["second, not as its region"] += sum(f == 0 and (x == 1) != b.article for b, f, x in found)
+    assert min(by_pass.values()) > 200, by_pass
+
+
+LINKS = "<ul><li><a href=1>one two three</a></li><li><a href=2>four five six</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<body><div>{LINKS}</div><div><h1>Title</h1><p>{ARTICLE}</p><p>Short.</p><p>{ARTICLE}</p></div><div>{LINKS}<p>Contact</p>{LINKS}</div></body>", f"Title\n{ARTICLE}\nShort.\n{ARTICLE}"),
+        (f"<article><h1>Title</h1>{LINKS}<p>More</p>{LINKS}<p>{ARTICLE}</p></article>", f"Title\n{ARTICLE}"),
+        (f"<article><p>{ARTICLE}</p><nav>{LINKS}</nav><p>End.</p><div class='reader-comments'><p>{ARTICLE}</p></div></article>", f"{ARTICLE}\nEnd."),
+        (f"<article><p>{ARTICLE}</p></article><div><p>{ARTICLE}</p></div><section id=comments><p>{ARTICLE}</p></section>", f"{ARTICLE}\n{ARTICLE}"),
+        ("<article><h1>Two words</h1><p>Only this.</p></article>", "Two words\nOnly this."),
+    ],
+)
+def test_pages_of_other_makes(page, want):
+    assert html_extract.main_text(page) == want
+
+
 def test_pages_table(spark):
     rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, None, None), (2, "v", "<article>" + "<p>word the of and</p>" * 50_000 + "</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(0), "_html": F.lit(0)})
