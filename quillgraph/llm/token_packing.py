@@ -113,8 +113,7 @@ def packed(docs: DataFrame, row_length: int = LENGTH, path: str | None = None, i
 
         for batch in batches:
             for part in pieces(batch, "t"):
-                codes, first, ids = model.encode_batch(part.column("t"))
-                flat, offsets = bpe.flatten(codes, first, ids)
+                flat, offsets = bpe.flatten(*model.encode_batch(part.column("t")))
                 held_ids.append(np.insert(flat, offsets[1:], end).astype(kind))
                 held_n.append(np.diff(offsets) + 1)
                 held_doc.append(part.column("i"))
