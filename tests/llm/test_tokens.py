@@ -1,6 +1,8 @@
 """BPE against the tokenizers library, packing by round trips."""
 
 import hashlib
+import itertools
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -100,12 +102,27 @@ def brute_best_fit(parts, size):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 45), max_size=60), st.integers(1, 20))
 def test_best_fit_decreasing(lengths, size):
-    rows = token_packing.pack(np.array(lengths, dtype=np.int64), size)
     parts = sorted((min(size, n - s) for n in lengths for s in range(0, n, size)), reverse=True)
+    rows: dict[int, list[tuple[int, int]]] = {}
+    made = token_packing.plan(Counter(parts), size)
+    for n, own in itertools.groupby(made, key=lambda p: p[0]):
+        own = list(own)
+        ends = [p[1] for p in own[1:]] + [parts.count(n)]
+        for (_, rank, row, each, offset), end in zip(own, ends, strict=True):
+            for k in range(end - rank):
+                rows.setdefault(row + k // each, []).append((offset + k % each * n, n))
+    for r in rows.values():  # segments follow each other
+        assert [a for a, _ in sorted(r)] == [0, *itertools.accumulate(n for _, n in sorted(r))][:-1] and sum(n for _, n in r) <= size
     # which of two rows with equal room is taken is free; how full the rows get is not
-    assert sorted(sum(b - a for _, a, b in r) for r in rows) == sorted(map(sum, brute_best_fit(parts, size)))
-    spans = sorted(x for r in rows for x in r)
-    assert spans == sorted((k, s, min(s + size, n)) for k, n in enumerate(lengths) for s in range(0, n, size))
+    assert sorted(sum(n for _, n in r) for r in rows.values()) == sorted(map(sum, brute_best_fit(parts, size)))
+    assert sorted(rows) == list(range(len(rows))) and sorted((n for r in rows.values() for _, n in r), reverse=True) == parts
+
+
+def test_plan_is_small():
+    """Many pieces of a length are placed at once: the plan grows with the number of lengths, not with that of the pieces."""
+    rng = np.random.default_rng(4)
+    counts = {n: int(c) for n, c in enumerate(rng.zipf(1.3, 2048) % 10_000_000 + 1, 1)}
+    assert len(token_packing.plan(counts, 2048)) < 60_000
 
 
 def unpack(rows, length):
@@ -121,12 +138,16 @@ def unpack(rows, length):
     return {d: [t for _, part in sorted(p) for t in part] for d, p in out.items()}
 
 
-@pytest.mark.parametrize("length,window", [(16, 100), (2048, 2_000_000), (1, 10)])
-def test_packing_round_trip(spark, length, window):
+@pytest.mark.parametrize("length,small", [(16, 0), (2048, 1_000_000), (1, 10)])
+def test_packing_round_trip(spark, length, small, monkeypatch):
+    monkeypatch.setattr(token_packing, "SMALL", small)
     rows = [(k, f"text number {k} " * (k % 13)) for k in range(60)] + [(100, None), (101, ""), (102, "long words " * 3000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "5 AS ids", "6 AS row").repartition(3)
-    packed = token_packing.packed(df, row_length=length, window=window).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "5 AS ids", "6 AS row", "7 AS part", "8 AS n", "9 AS i", "0 AS t").repartition(3)
+    packed = token_packing.packed(df, row_length=length).collect()
     m = bpe.model(PATH)
+    parts = sorted((min(length, n - s) for _, t in rows for n in [len(m.encode(t)) + 1] for s in range(0, n, length)), reverse=True)
+    assert sorted(r["n_tokens"] for r in packed) == sorted(map(sum, brute_best_fit(parts, length)))  # over the whole table
+    assert sorted(r["row"] for r in packed) == list(range(len(packed)))
     assert unpack(packed, length) == {i: [*m.encode(t), 49407] for i, t in rows}
     assert all(p == 0 for r in packed for p in r["position_starts"])
 
