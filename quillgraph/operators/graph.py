@@ -1,6 +1,8 @@
 """The graph as tables, and its queries as plans over them.
 
-Nothing here runs a job, but `closure`, which loops until no pair is new. Requests become literals; names compare by lower() of both sides.
+Nothing here runs a job, but `transitive_closure`, which loops until no pair is new, `ancestors` and `nearest_first`, which use it, and `reachable`.
+Requests become literals; names compare by lower() of both sides. Tables that are empty give empty results, counts of them are 0. Null names,
+values and ends of links match nothing; an entity with several labels has a row for each, one without a label is counted but not listed.
 """
 
 from __future__ import annotations
@@ -8,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import sorted_pages
@@ -61,19 +63,20 @@ def from_quads(spark: SparkSession, quads: DataFrame, type_dim: DataFrame, rel_d
     )
 
 
-def transitive_closure(pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """ancestor, descendant, depth (least) over pairs (s, o), cycles included: only new pairs are extended in each round."""
-    spark = pairs.sparkSession
-    step = cut(pairs.select(F.col("s").alias("_from"), F.col("o").alias("_to")).where("_from is not null and _to is not null").distinct())
-    new = cut(step.select(F.col("_from").alias("ancestor"), F.col("_to").alias("descendant"), F.lit(1).alias("depth")))
-    found = new
-    for depth in range(2, max_rounds):
-        reached = new.join(step, F.col("descendant") == F.col("_from")).select("ancestor", F.col("_to").alias("descendant")).distinct()
-        new = cut(reached.join(found, ["ancestor", "descendant"], "left_anti").select("ancestor", "descendant", F.lit(depth).alias("depth")))
-        if new.isEmpty():
-            break
-        found = found.unionByName(new)
-    return found if found is not None else spark.createDataFrame([], "ancestor string, descendant string, depth int")
+def transitive_closure(pairs: DataFrame) -> DataFrame:
+    """ancestor, descendant, depth (least) over pairs (s, o), cycles included; pairs with a null end are passed over.
+
+    The reach doubles in each round: a shortest path longer than it is one of just that length and another that is no longer. So rounds grow
+    with the logarithm of the depth, and there is no bound on it.
+    """
+    found = cut(pairs.where("s is not null and o is not null").select(F.col("s").alias("ancestor"), F.col("o").alias("descendant"), F.lit(1).alias("depth")).distinct())
+    reach = 1
+    while not (ends := found.where(F.col("depth") == reach)).isEmpty():
+        on = found.select(F.col("ancestor").alias("_via"), F.col("descendant").alias("_to"), F.col("depth").alias("_more"))
+        longer = ends.join(on, F.col("descendant") == F.col("_via")).select("ancestor", F.col("_to").alias("descendant"), (F.col("depth") + F.col("_more")).alias("depth"))
+        found = cut(found.unionByName(longer).groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")))
+        reach *= 2
+    return found
 
 
 # ---- filters -------------------------------------------------------------------------------------------------------------------------
@@ -142,7 +145,8 @@ def by_relevance(hits: DataFrame, limit: int) -> DataFrame:
     return hits.orderBy("score", F.length("name"), F.lower("name"), "name").limit(limit)
 
 
-STOP_WORDS = frozenset("the and for are was were who what when where which how why does did has have had its his her their this that with from into about".split())
+#: Words that a question is searched without.
+STOP_WORDS = frozenset("the and for with what who which where when how are was were is of in on to a an about tell me list from that this their there".split())
 
 
 def words_of(question: str) -> list[str]:
@@ -249,10 +253,10 @@ def capitals(g: Graph, nation: str = "Nation") -> DataFrame:
     return first.unionByName(second.join(between, ["entity", "city"], "left_anti").select("entity", "city", "status")).distinct()
 
 
-def ancestors(g: Graph) -> DataFrame:
-    """s, ancestor, depth for labelled ancestors, nearest first inside s: only steps through labelled nodes count."""
-    labelled = g.labels.select("s").distinct()
-    return g.closure.join(labelled.select(F.col("s").alias("ancestor")), "ancestor", "left_semi").select(F.col("descendant").alias("s"), "ancestor", "depth")
+def ancestors(g: Graph, predicate: str = "contains") -> DataFrame:
+    """s, ancestor, depth for labelled ancestors: what lies above an unlabelled one counts only by another way."""
+    steps = g.edges.where(F.col("p") == predicate).join(g.labels.select("s").distinct(), "s", "left_semi")
+    return transitive_closure(steps.select("s", "o")).select(F.col("descendant").alias("s"), "ancestor", "depth")
 
 
 def nearest_first(g: Graph, entity: str, predicate: str = "contains") -> DataFrame:
@@ -280,6 +284,34 @@ def children(g: Graph, depth: str = "direct") -> DataFrame:
     return _typed(g, ends, "far").groupBy("s", "other").agg(F.array_sort(F.collect_set("type")).alias("types"))
 
 
+def children_total(g: Graph, depth: str = "direct") -> DataFrame:
+    """s, total: labelled entities that an entity contains, directly or at all levels; they can be more than their names."""
+    if depth == "direct":
+        return relationship_total(g, "contains")
+    ends = g.closure.select(F.col("ancestor").alias("s"), F.col("descendant").alias("far"))
+    return ends.join(g.labels.select(F.col("s").alias("far")).distinct(), "far", "left_semi").groupBy("s").agg(F.countDistinct("far").alias("total"))
+
+
+def links_page(g: Graph, entities: DataFrame, page: int, size: int) -> DataFrame:
+    """One page of grouped_edges by relation and name."""
+    return grouped_edges(g, entities).orderBy("relation", "other", "s").offset(size * (page - 1)).limit(size)
+
+
+def local_name(uri: Column, namespace: str) -> Column:
+    """An IRI without the vocabulary's namespace; others, and null as an empty text, stay as they are."""
+    whole = F.coalesce(uri, F.lit(""))
+    return F.when(whole.startswith(namespace), F.substring(whole, len(namespace) + 1, 1 << 30)).otherwise(whole)
+
+
+def reachable(g: Graph) -> bool:
+    """Whether the store answers: one row is asked for."""
+    try:
+        g.labels.limit(1).collect()
+    except Exception:  # noqa: BLE001
+        return False
+    return True
+
+
 # ---- provenance and schema -----------------------------------------------------------------------------------------------------------
 
 

@@ -89,7 +89,8 @@ def tools(graph):
 def test_tools(tools):
     assert tools.list_names("City", limit=2) == {"total": 3, "offset": 0, "names": ["Afar", "Amid"], "count": 2, "truncated": True, "next_offset": 2, "hint": "ask again from next_offset"}
     assert "River" in tools.list_names("Rivers")["suggestions"] and "error" in tools.list_names("City", {"colour": "x"})
-    assert tools.search_entities("king karl") == [{"name": "Karl", "types": ["Person"], "matched_alias": "King Karl"}]
+    assert tools.search_entities("king karl") == {"matches": [{"name": "Karl", "types": ["Person"], "matched_alias": "King Karl"}]}
+    assert all("error" in x for x in (tools.search_entities("k"), tools.search_entities("karl", "Persn"), tools.search_text("ab"), tools.search_text("what is the"), tools.search_text("market", "Citty")))
     assert tools.get_relationships("aland", "capital")["names"] == ["Amid"] and tools.get_relationships("Aland", "former_capitals")["names"] == ["Afar"]
     assert tools.get_relationships("house smith", "members")["total"] == 3 and tools.get_relationships("aland", "ruler")["names"] == ["Karl"]
     assert "suggestions" in tools.get_relationships("aland", "rule") and "Karl" in tools.get_entity("Karl the Great")["suggestions"] + tools.get_entity("Kar")["suggestions"]
@@ -97,10 +98,10 @@ def test_tools(tools):
     assert tools.get_entity("aland", "relationships")["relationships"]["ruler"] == [{"name": "Karl", "types": ["Person"]}]
     up = tools.get_location_hierarchy("amid")
     assert up["ancestors"] == ["Aland", "Land"] and up["children"] == []
-    assert tools.get_location_hierarchy("land", "all")["total"] == 7
-    found = tools.get_sources(["amid", "nobody"], edition="5e")
+    assert tools.get_location_hierarchy("land", "all")["total"] == 6  # entities: one of them has two names
+    found = tools.get_sources(["amid", "nobody"], edition="5e")["entities"]
     assert [s["title"] for s in found[0]["sources"]] == ["One"] and "error" in found[1]
-    assert tools.search_text("market river")[0]["sources"] and len(tools.list_sources()) == 2 and "Place" in tools.describe_schema()["types"]
+    assert tools.search_text("market river")["matches"][0]["sources"] and len(tools.list_sources()["sources"]) == 2 and "Place" in tools.describe_schema()["types"]
 
 
 def test_unlabelled_step_hides_ancestors(graph):
@@ -112,6 +113,28 @@ def test_size_cap():
     assert out["truncated"] and out["next_offset"] == out["count"] == len(out["names"]) < 100
 
 
+def test_size_cap_at_any_depth():
+    out = T.capped({"name": "x", "facts": {"a": [f"value {k}" for k in range(400)], "b": ["one"]}}, cap=1000)
+    assert out["truncated"] and out["note"] and 1 <= len(out["facts"]["a"]) < 200 and out["facts"]["b"] == ["one"]
+    out = T.capped({"deep": [{"text": "y" * 3000}]}, cap=1000)
+    assert out["truncated"] and out["deep"][0]["text"] == "y" * 400 + "…"
+    small = {"a": [1, 2]}
+    assert T.capped(small) is small and small == {"a": [1, 2]}
+
+
+def test_modes(tools):
+    assert tools.call("list_names", kind="City", limit=1)["names"] == ["Afar"]
+    assert T.Tools(tools.graph, ONTO, mode="ingest").call("list_names", kind="City")["status"] == 503
+
+
+def test_closure_of_a_long_chain(spark):
+    n = 150
+    pairs = spark.createDataFrame([(f"{k:03}", f"{k + 1:03}") for k in range(n)] + [("000", "100"), (None, "x"), ("x", None)], "s string, o string")
+    got = {(r["ancestor"], r["descendant"]): r["depth"] for r in G.transitive_closure(pairs).collect()}
+    want = {(f"{a:03}", f"{b:03}"): min(b - a, 1 + b - 100) if a == 0 and b >= 100 else b - a for a in range(n) for b in range(a + 1, n + 1)}
+    assert got == want and G.transitive_closure(pairs.limit(0)).collect() == []
+
+
 def test_versions():
     assert at_least("0.2.0", "0.1.9") and at_least("1.0.0", "1.0.0") and not at_least("0.2.0", "0.10.0")
 
