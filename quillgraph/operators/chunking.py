@@ -1,13 +1,20 @@
-"""Markdown to chunks. Lines are classified by column expressions; what depends on a document's order of lines runs over one document at a time."""
+"""Markdown to chunks. Lines are classified by column expressions; what depends on a document's order of lines runs over one document at a time.
+
+A null text has no lines, and a document without lines no sections and chunks; an empty table gives an empty one. Ids are the documents' own:
+rows with one id are one document.
+"""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import title_key
+
 CHUNKS = "doc_id string, chunk_idx int, sub_index int, text string, title string, page int, level int, token_count int, parent_index int, hierarchy array<string>"
 TOC_LINE = r"^\s*(?:\|\s*)?(?:[-*+]\s+)?(?:\*\*)?(.+?)(?:\*\*)?\s*(?:\.{2,}|\s\|\s|\s{2,}|\t)[\s.|]*(\d{1,4})\s*\|?\s*$"
 LEAST_TOKENS = 10
@@ -19,12 +26,19 @@ def budget(context: int, overhead: int = 700) -> tuple[int, int]:
 
 
 def tokens(text: Column) -> Column:
-    """An estimate: words and single punctuation marks. Another counter can be given wherever this is used."""
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")).cast("int")
+    """An estimate: runs of letters and digits, and other characters but white space. Another counter can be given wherever this is used."""
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\p{White_Space}\p{L}\p{N}]".replace("White_Space", "IsWhite_Space"))).cast("int")
 
 
 def count_tokens(text: str) -> int:
-    return len(re.findall(r"[^\W_]+|[^\w\s]|_", text))
+    """The same count of a Python text."""
+    total, run = 0, False
+    for c in text:
+        kind = unicodedata.category(c)[0]
+        word = kind in "LN"
+        total += word and not run or not word and not c.isspace()
+        run = word
+    return total
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,7 +93,7 @@ def sections(rows: DataFrame, token_count: Callable[[Column], Column] = tokens,
 
 def toc_entries(text_lines: list[str], search: int = 1000) -> tuple[list[tuple[str, int]], list[str]]:
     """Entries of a table of contents near the start, and the other lines. Three lines of its form in a row, blanks aside, begin it; the first
-    two aren't entries; over five lines of another form end it."""
+    two aren't entries; over five lines of another form in a row end it. What stands before and in it is no body."""
     entries, run, start, misses, end = [], 0, None, 0, None
     for i, line in enumerate(text_lines[:search]):
         if not line.strip():
@@ -97,7 +111,35 @@ def toc_entries(text_lines: list[str], search: int = 1000) -> tuple[list[tuple[s
                 misses += 1
                 if misses > 5:
                     break
-    return (entries, text_lines[: start] + text_lines[end + 1 :]) if start is not None else ([], text_lines)
+    return (entries, text_lines[end + 1 :]) if start is not None else ([], text_lines)
+
+
+def toc_and_body(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The entries (doc_id, ord, title, start, chapter, key) of each document's table of contents, and the documents (doc_id, text) without it."""
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for d, t in zip(batch["doc_id"], batch["text"], strict=True):
+                found, rest = toc_entries((t or "").split("\n"))
+                rows.append((d, "\n".join(rest), [(k, title, page) for k, (title, page) in enumerate(found)]))
+            yield pd.DataFrame(rows, columns=["doc_id", "text", "toc"])
+
+    cut_off = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id string, text string, toc array<struct<ord: int, title: string, start: int>>")
+    entries = cut_off.select("doc_id", F.explode("toc").alias("e")).select("doc_id", "e.*")
+    chapter = F.regexp_extract("title", r"(?i)\b(?:chapter|part)\s+(\d+)", 1).try_cast("int")
+    return entries.select("*", chapter.alias("chapter"), title_key(F.col("title")).alias("key")), cut_off.select("doc_id", "text")
+
+
+def with_toc(found: DataFrame, entries: DataFrame) -> DataFrame:
+    """Sections with toc_title: of the entry whose pages hold the section's, else of the first entry with the section's own title."""
+    pages = found.where("page is not null").select("doc_id", "page").distinct()
+    by_page = toc_of_page(pages, toc_ranges(entries))
+    by_title = entries.groupBy("doc_id", "key").agg(F.min_by("title", "ord").alias("named"))
+    both = found.join(by_page, ["doc_id", "page"], "left").withColumn("key", title_key(F.col("title"))).join(by_title, ["doc_id", "key"], "left")
+    return both.select(*[found[c] for c in found.columns], F.coalesce("toc_title", "named").alias("toc_title"))
 
 
 def toc_ranges(entries: DataFrame) -> DataFrame:
@@ -128,32 +170,31 @@ def with_hierarchy(items: list[dict]) -> list[dict]:
     return items
 
 
-def merge_small(items: list[dict], least: int, most: int, count: Callable[[str], int] = count_tokens) -> list[dict]:
-    """A section under `least` tokens joins the one before it where both fit into `most`."""
+def merge_small(items: list[dict], least: int, most: int) -> list[dict]:
+    """A section under `least` tokens joins the one before it where both fit into `most`; the titles stay out of the text."""
     out: list[dict] = []
     for s in items:
         if out and s["token_count"] < least and out[-1]["token_count"] + s["token_count"] <= most:
-            text = "\n\n".join(x for x in (out[-1]["text"], s["title"] or "", s["text"]) if x)
-            out[-1] |= {"text": text, "token_count": count(text)}
+            out[-1] |= {"text": f"{out[-1]['text']}\n\n{s['text']}", "token_count": out[-1]["token_count"] + s["token_count"]}
         else:
             out.append(dict(s))
     return out
 
 
 def split_large(s: dict, most: int, count: Callable[[str], int] = count_tokens) -> list[dict]:
-    """A section over `most` tokens in parts at blank lines, a single paragraph over it by itself."""
+    """A section over `most` tokens in parts at blank lines, a single paragraph over it by itself; sub_index only where there are several parts."""
     if s["token_count"] <= most:
-        return [s | {"sub_index": 0}]
-    parts, held, total = [], [], 0
-    for p in re.split(r"\n\s*\n", s["text"]):
+        return [s | {"sub_index": None}]
+    parts: list[tuple[list[str], int]] = []
+    for p in s["text"].split("\n\n"):
+        if not p.strip():
+            continue
         n = count(p)
-        if held and total + n > most:
-            parts.append("\n\n".join(held))
-            held, total = [], 0
-        held.append(p)
-        total += n
-    parts.append("\n\n".join(held))
-    return [s | {"text": p, "token_count": count(p), "sub_index": k} for k, p in enumerate(parts)]
+        if parts and parts[-1][1] + n <= most:
+            parts[-1] = ([*parts[-1][0], p], parts[-1][1] + n)
+        else:
+            parts.append(([p], n))
+    return [s | {"text": "\n\n".join(own), "token_count": n, "sub_index": k if len(parts) > 1 else None} for k, (own, n) in enumerate(parts)]
 
 
 def chunks(found: DataFrame, context: int = 4096, overhead: int = 700, count: Callable[[str], int] = count_tokens) -> DataFrame:
@@ -164,10 +205,10 @@ def chunks(found: DataFrame, context: int = 4096, overhead: int = 700, count: Ca
         import pandas as pd
 
         rows = pdf.sort_values("section").astype(object).where(lambda x: x.notna(), None).to_dict("records")
-        made = [p for s in merge_small(with_hierarchy(rows), least, most, count) for p in split_large(s, most, count)]
+        made = [p for s in merge_small(with_hierarchy(rows), least, most) for p in split_large(s, most, count)]
         out = [(s["doc_id"], k, s["sub_index"], s["text"], s["title"], s["page"], s["level"], s["token_count"], s["parent_index"], s["hierarchy"]) for k, s in enumerate(made)]
         names = [c.split()[0] for c in CHUNKS.split(", ")]
-        return pd.DataFrame(out, columns=names).astype({c: "Int32" for c in ("page", "level", "parent_index")})
+        return pd.DataFrame(out, columns=names).astype({c: "Int32" for c in ("sub_index", "page", "level", "parent_index")})
 
     return found.select("doc_id", "section", "title", "level", "page", "text", "token_count").groupBy("doc_id").applyInPandas(run, CHUNKS)
 
@@ -177,11 +218,20 @@ def manifest(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_if(F.col("label") == "ENTITIES").alias("entities"), F.count_if(F.col("label") != "ENTITIES").alias("skipped"))
 
 
+#: Tags that end a line of a web page; Java's and RE2's patterns alike.
+LINE_TAGS = r"(?i)</?(?:p|div|br|hr|li|ul|ol|nav|article|section|main|aside|header|footer|table|tr|td|th|body|html|blockquote|pre)\b[^>]*>|</h[1-6]\s*>"
+AWAY = (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?is)<head\b.*?</head\s*>", r"(?is)<!--.*?-->")
+
+
 def pages_as_markdown(pages: DataFrame) -> DataFrame:
-    """doc_id (the url's host), line_no, line: web pages as Markdown lines with page markers, a heading, and paragraphs between blank lines."""
-    host = F.regexp_extract("url", r"://([^/?#]*)", 1)
-    h1 = F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1)
-    paras = F.transform(F.regexp_extract_all("html", F.lit(r"(?s)<p>([^<]+)")), lambda x: F.concat(F.trim(x), F.lit("\n")))
-    text = F.concat(F.array(F.concat(F.lit("<!-- page: "), F.col("page_id").cast("string"), F.lit(" -->")), F.lit(""), F.concat(F.lit("# "), F.trim(h1)), F.lit("")), F.flatten(F.transform(paras, lambda x: F.split(x, "\n"))))
-    rows = pages.where("url is not null and html is not null").select(host.alias("doc_id"), "page_id", F.posexplode(text).alias("n", "line"))
-    return rows.select("doc_id", (F.col("page_id") * 100_000 + F.col("n")).alias("line_no"), "line")
+    """doc_id (the page), line_no, line: each web page's whole text as Markdown lines: its marker, headings with their marks, paragraphs between
+    blank lines. A page is one document; a null page has no lines."""
+    text = F.col("html")
+    for form in AWAY:
+        text = F.regexp_replace(text, form, " ")
+    text = F.regexp_replace(text, r"\s+", " ")
+    for k in range(1, 7):
+        text = F.regexp_replace(text, rf"(?i)<h{k}\b[^>]*>", "\n\n" + "#" * k + " ")
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, LINE_TAGS, "\n\n"), r"<[^>]*>", ""), r" *\n\s*\n *", "\n\n")
+    marked = F.concat(F.lit("<!-- page: "), F.col("page_id").cast("string"), F.lit(" -->\n\n"), F.btrim(text))
+    return lines(pages.where("html is not null and page_id is not null").select("page_id", marked.alias("text")), "page_id")

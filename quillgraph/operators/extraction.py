@@ -45,9 +45,10 @@ def fits(chunks: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return chunks.join(bad.select("doc_id"), "doc_id", "left_anti"), errors
 
 
-def with_model(chunks: DataFrame, model: Model, onto: Ontology, max_tokens: int, text_col: str = "text") -> DataFrame:
-    """doc_id, chunk_idx, label, body of each chunk; only those with entities are extracted."""
-    ask, extract = classifier_prompt(onto), extractor_prompt(onto)
+def with_model(chunks: DataFrame, model: Model, onto: Ontology, max_tokens: int, text_col: str = "text", hint: list[str] | None = None) -> DataFrame:
+    """doc_id, chunk_idx, label, body, error of each chunk; only those with entities are extracted. Known names are part of the extractor's
+    prompt. A call that fails gives its error and no body; the other chunks go on."""
+    ask, extract = classifier_prompt(onto), extractor_prompt(onto) + hint_text(hint or [])
 
     def run(batches):
         import pandas as pd
@@ -55,11 +56,21 @@ def with_model(chunks: DataFrame, model: Model, onto: Ontology, max_tokens: int,
         for batch in batches:
             rows = []
             for d, k, t in zip(batch["doc_id"], batch["chunk_idx"], batch["text"], strict=True):
-                label = "ENTITIES" if "ENTITIES" in model.complete(ask, t, 512).upper() else "SKIP"
-                rows.append((d, k, label, model.complete(extract, t, max_tokens) if label == "ENTITIES" else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_idx", "label", "body"])
+                label = body = error = None
+                try:
+                    label = "ENTITIES" if "ENTITIES" in model.complete(ask, t, 512).upper() else "SKIP"
+                    body = model.complete(extract, t, max_tokens) if label == "ENTITIES" else None
+                except Exception as e:  # noqa: BLE001
+                    error = f"{type(e).__name__}: {e}"
+                rows.append((d, k, label, body, error))
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_idx", "label", "body", "error"])
 
-    return chunks.select("doc_id", "chunk_idx", F.col(text_col).alias("text")).mapInPandas(run, "doc_id string, chunk_idx int, label string, body string")
+    return chunks.select("doc_id", "chunk_idx", F.col(text_col).alias("text")).mapInPandas(run, "doc_id string, chunk_idx int, label string, body string, error string")
+
+
+def hint_text(names: list[str]) -> str:
+    """What the extractor's prompt says of names that are known already."""
+    return f"\nKnown names, to be written the same way: {'; '.join(names)}." if names else ""
 
 
 def unfenced(reply: Column) -> Column:

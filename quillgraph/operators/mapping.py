@@ -1,7 +1,8 @@
 """Extracted objects to quads, by a vocabulary's field map.
 
 Input rows: doc_id, chunk_idx, page (the chunk's), book, body (a JSON object of arrays, one for each entity key), ord (arrival).
-Everything is a projection of one array of entities; only the type fold shuffles, by slug and with types reduced first.
+Everything is a projection of one array of entities; only the type fold shuffles, by slug and with types reduced first. A null or broken body,
+and objects without a usable name, give nothing; null ids and books are kept; a quad that comes twice in a document counts once.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.names import clean_name, slug, year
 from ..plans.ontology import Entity, Ontology
+from ..sources.store import cut
+
+#: Stands for the page of a mention without one.
+NO_PAGE = "nopage"
 
 
 def _text(v: str, name: str) -> Column:
@@ -83,6 +88,12 @@ def type_conflicts(folded: DataFrame) -> DataFrame:
 
 def field_triples(found: DataFrame, e: Entity) -> DataFrame:
     """doc_id, s, p, o, o_kind, datatype of one entity key's fields: an unpivot by the field map."""
+    rows = found.where(F.col("key") == e.key).select("doc_id", F.explode(field_array(e)).alias("t"))
+    return rows.select("doc_id", "t.*").where("o is not null and o <> ''")
+
+
+def field_array(e: Entity) -> Column:
+    """All triples of an object's fields as one array; some have a null or empty object."""
     me = F.col("slug")
     row = lambda s, p, o, kind, datatype: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(datatype).cast("string").alias("datatype"))
     # these take the field first: a lambda of two parameters would get the place in the array as its second
@@ -121,29 +132,29 @@ def field_triples(found: DataFrame, e: Entity) -> DataFrame:
                 parts.append(F.transform(ends, in_rows(p)))
     alias = F.filter(F.transform(_items("v", "aliases"), clean_name), lambda x: x.isNotNull() & (x != F.col("name")))
     parts.append(F.transform(alias, lambda x: row(me, "alias", x, "lit", "string")))
-    rows = found.where(F.col("key") == e.key).select("doc_id", F.explode(F.concat(*parts)).alias("t"))
-    return rows.select("doc_id", "t.*").where("o is not null and o <> ''")
+    return F.concat(*parts)
 
 
 def quads(extracted: DataFrame, onto: Ontology) -> DataFrame:
-    """All quads of extracted chunks: types with their ancestors by the fold over all documents, names, mentions and fields."""
+    """All quads of extracted chunks: types with their ancestors by the fold over all documents, names, mentions and fields.
+
+    An object's quads but its types are one array, so replies are parsed once for them and once for the types, of which only slugs and classes are kept.
+    """
     found = entities(extracted, onto)
-    folded = type_fold(found, onto).select("slug", "class")
+    arrived = cut(found.select("doc_id", "slug", "class", "ord", "chunk_idx", "pos"))
+    folded = type_fold(arrived, onto).select("slug", "class")
     dim = F.broadcast(onto.type_dim(extracted.sparkSession).select(F.col("type").alias("class"), F.concat(F.array("type"), "ancestors").alias("all")))  # the vocabulary's size
-    typed = found.select("doc_id", "slug").distinct().join(folded, "slug").join(dim, "class", "left")
-    lit = lambda p, o: F.struct(F.col("slug").alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit("lit").alias("o_kind"), F.lit("string").alias("datatype"))
-    iri = lambda s, p, o: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("datatype"))
-    types = typed.select("doc_id", "slug", F.explode(F.coalesce("all", F.array("class"))).alias("o")).select("doc_id", iri(F.col("slug"), "type", F.col("o")).alias("t"))
-    me = F.col("slug")
-    pages = F.when(F.size("pages") > 0, F.col("pages")).otherwise(F.array(F.lit("nopage")))
-    named = found.select("doc_id", F.explode(F.array(lit("label", F.col("name")), iri(me, "mentionedIn", F.col("book")))).alias("t"))
-    at = found.select("doc_id", "slug", "book", F.explode(pages).alias("page"))
-    node = F.concat_ws("/", F.lit("mention"), "slug", "book", slug(F.col("page")))
-    mention = at.select("doc_id", "page", "slug", "book", node.alias("m"))
-    page = F.when(F.col("page") != "nopage", F.struct(F.col("m").alias("s"), F.lit("atPage").alias("p"), F.col("page").alias("o"), F.lit("lit").alias("o_kind"), F.lit("string").alias("datatype")))
-    seen = mention.select("doc_id", F.explode(F.array_compact(F.array(iri(me, "hasMention", F.col("m")), iri(F.col("m"), "inBook", F.col("book")), page))).alias("t"))
-    rows = reduce(DataFrame.unionByName, [d.select("doc_id", "t.*") for d in (types, named, seen)] + [field_triples(found, e) for e in onto.entities])
-    return rows.dropDuplicates()
+    typed = arrived.select("doc_id", "slug").distinct().join(folded, "slug").join(dim, "class", "left")
+    t = lambda s, p, o, kind: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit("string" if kind == "lit" else None).cast("string").alias("datatype"))
+    me, book = F.col("slug"), F.col("book")
+    types = typed.select("doc_id", F.explode(F.transform(F.coalesce("all", F.array("class")), lambda c: t(me, "type", c, "iri"))).alias("t"))
+    node = lambda page: F.concat_ws("/", F.lit("mention"), me, book, slug(page))
+    pages = F.when(F.size("pages") > 0, F.col("pages")).otherwise(F.array(F.lit(NO_PAGE)))
+    seen = F.flatten(F.transform(pages, lambda p: F.array(t(me, "hasMention", node(p), "iri"), t(node(p), "inBook", book, "iri"), t(node(p), "atPage", F.when(p != NO_PAGE, p), "lit"))))
+    named = F.array(t(me, "label", F.col("name"), "lit"), t(me, "mentionedIn", book, "iri"))
+    of = [found.where(F.col("key") == e.key).select("doc_id", F.explode(F.concat(named, seen, field_array(e))).alias("t")) for e in onto.entities]
+    rows = reduce(DataFrame.unionByName, [d.select("doc_id", "t.*") for d in (types, *of)])
+    return rows.where("o is not null and o <> ''").dropDuplicates()
 
 
 def book_quads(books: DataFrame) -> DataFrame:

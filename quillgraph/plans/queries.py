@@ -195,11 +195,6 @@ def closure_all(g):
     return g.with_closure().closure
 
 
-@query("SELECT descendant AS s, ancestor, depth::INT AS depth FROM closure WHERE ancestor IN (SELECT s FROM labels)")
-def ancestors_nearest_first(g):
-    return G.ancestors(g.with_closure())
-
-
 @query("SELECT s, o FROM edges WHERE p = 'contains' AND starts_with(s, 'region/') AND starts_with(o, 'nation/')")
 def induced_edges(g):
     return G.induced_edges(g, G.of_type(g, "Place"))
@@ -303,15 +298,16 @@ FIELDS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_ord
 
 
 def _extracted(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as extracted JSON: a chunk for each order, a document for each customer, some replies broken."""
-    o = table(spark, d, "orders").where("o_orderkey % 10 <> 9")
+    """Orders as extracted JSON: a chunk for each order, a document for some customers, some replies broken or empty."""
+    o = table(spark, d, "orders")
     text = lambda c: F.col(c).cast("string")
     order = F.struct(
         F.concat(F.lit("Order "), text("o_orderkey")).alias("name"), F.col("o_orderstatus").alias("status"), text("o_orderkey").alias("total"), F.col("o_orderpriority").alias("priority"), F.year("o_orderdate").alias("year"),
         F.concat(F.lit("Customer "), text("o_custkey")).alias("customer"), F.array(F.concat(F.lit("t"), (F.col("o_orderkey") % 3).cast("string")), F.lit("all")).alias("tags"),
-        F.concat(F.lit("Order "), (F.col("o_orderkey") + 1).cast("string")).alias("peer"), F.array(F.struct(F.concat(F.lit("Customer "), text("o_custkey")).alias("target"), F.when(F.col("o_orderkey") % 2 == 0, "ally").otherwise("enemy").alias("type"))).alias("relationships"),
+        F.array(F.concat(F.lit("Ord "), text("o_orderkey")), F.concat(F.lit("Order "), text("o_orderkey"))).alias("aliases"), F.array(F.concat(F.lit("Part "), (F.col("o_orderkey") % 5).cast("string")), F.lit("unknown"), F.lit("Bolt")).alias("parts"), F.concat(F.lit("Region "), (F.col("o_orderkey") % 4).cast("string")).alias("region"),
+        F.when(F.col("o_orderkey") % 4 == 0, F.array(F.lit("p. 1"), F.lit(" "), F.lit("p. 2"))).alias("page_references"), F.when(F.col("o_orderkey") % 4 == 1, " 9 ").alias("page_reference"), F.concat(F.lit("Order "), (F.col("o_orderkey") + 1).cast("string")).alias("peer"), F.array(F.struct(F.concat(F.lit("Customer "), text("o_custkey")).alias("target"), F.when(F.col("o_orderkey") % 2 == 0, "ally").otherwise("enemy").alias("type"))).alias("relationships"),
     )
-    body = F.when(F.col("o_orderkey") % 10 == 8, "not json").otherwise(F.to_json(F.struct(F.array(order).alias("orders"))))
+    body = F.when(F.col("o_orderkey") % 10 == 8, "not json").when(F.col("o_orderkey") % 10 == 9, '{"orders": []}').otherwise(F.to_json(F.struct(F.array(order).alias("orders"))))
     return o.select(F.concat(F.lit("doc"), (F.col("o_custkey") % 50).cast("string")).alias("doc_id"), F.col("o_orderkey").cast("int").alias("chunk_idx"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 7).cast("string").alias("page"), F.concat(F.lit("book/"), "o_orderpriority").alias("book"), body.alias("body"))
 
 
@@ -320,7 +316,7 @@ KEPT = "(SELECT *, 'Order_' || o_orderkey AS me, 'doc' || (o_custkey % 50) AS do
 
 @query(
     f"SELECT DISTINCT doc_id, me AS s, p, o, datatype FROM (SELECT doc_id, me, 'total' AS p, o_orderkey::VARCHAR AS o, 'string' AS datatype FROM {KEPT} UNION ALL SELECT doc_id, me, 'priority', lower(o_orderpriority), 'string' FROM {KEPT} WHERE lower(o_orderpriority) IN ('1-urgent', '2-high') "
-    f"UNION ALL SELECT doc_id, me, 'year', year(o_orderdate)::VARCHAR, 'integer' FROM {KEPT} UNION ALL SELECT doc_id, me, 'tag', unnest(['t' || (o_orderkey % 3), 'all']), 'string' FROM {KEPT})",
+    f"UNION ALL SELECT doc_id, me, 'year', year(o_orderdate)::VARCHAR, 'integer' FROM {KEPT} UNION ALL SELECT doc_id, me, 'tag', unnest(['t' || (o_orderkey % 3), 'all']), 'string' FROM {KEPT} UNION ALL SELECT doc_id, me, 'alias', 'Ord ' || o_orderkey, 'string' FROM {KEPT})",
     graph=False,
 )
 def unpivot_literals(spark, d):
@@ -341,11 +337,6 @@ def typed_relationships(spark, d):
     return M.field_triples(M.entities(_extracted(spark, d), ORDERS), ORDERS.entities[0]).where("p in ('alliedWith', 'enemyOf')").select("doc_id", "s", "p", "o").distinct()
 
 
-@query(None, graph=False)
-def mapped_counts(spark, d):
-    return M.counts(M.quads(_extracted(spark, d), ORDERS))
-
-
 def _arrivals(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("o_orderkey") % 5 == 0, "Order").when(F.col("o_orderkey") % 11 == 0, "Thing").otherwise(F.when(F.col("o_orderstatus") == "O", "Open").when(F.col("o_orderstatus") == "F", "Filled").otherwise("Pending"))
     return table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("slug"), F.col("o_orderkey").alias("ord"), F.lit(0).alias("chunk_idx"), F.lit(0).alias("pos"), kind.alias("class"))
@@ -369,11 +360,6 @@ def type_conflicts(spark, d):
     return M.type_conflicts(M.type_fold(_arrivals(spark, d), Ontology(LATTICE, (), ())))
 
 
-@query(None, graph=False)
-def nquads_round_trip(spark, d):
-    return store.parse_nquads(store.quad_lines(M.quads(_extracted(spark, d), ORDERS)))
-
-
 # ---- chunks --------------------------------------------------------------------------------------------------------------------------
 
 
@@ -386,25 +372,6 @@ def chunk_lines_classified(spark, d):
     return C.classified(C.lines(table(spark, d, "documents"))).select("doc_id", "line_no", "kind")
 
 
-def _sections(spark: SparkSession, d: str) -> DataFrame:
-    return C.sections(C.classified(C.pages_as_markdown(table(spark, d, "pages"))))
-
-
-@query(None, graph=False)
-def chunk_sections(spark, d):
-    return _sections(spark, d)
-
-
-@query(None, graph=False)
-def chunk_merge_and_split(spark, d):
-    return C.chunks(_sections(spark, d), context=1024, overhead=300)
-
-
-@query(None, graph=False)
-def chunk_manifest(spark, d):
-    return C.manifest(X.by_rule(C.chunks(_sections(spark, d), context=1024, overhead=300)))
-
-
 @query(
     "SELECT doc_id, page, toc_title FROM (SELECT 'c' || (o_custkey % 20) AS doc_id, (o_orderkey % 500)::INT AS page FROM orders GROUP BY ALL) p, LATERAL (SELECT 'T' || t AS toc_title FROM range(0, 40) r(t) WHERE t * 12 + 1 <= p.page ORDER BY t DESC LIMIT 1)",
     graph=False,
@@ -446,8 +413,8 @@ def state_page(spark, d):
 @query(f"SELECT document_id FROM {LAST} WHERE status NOT IN ('PENDING', 'MARKDOWN_READY', 'COMPLETED', 'FAILED') AND date_diff('second', date_trunc('second', updated_at), date_trunc('second', (SELECT max(ts) FROM events))) > 600", graph=False)
 def state_stale(spark, d):
     log = _log(spark, d)
-    now = log.agg(F.max("updated_at").alias("now")).first()["now"]
-    return S.stale(log, F.lit(now)).select("document_id")
+    now = log.agg(F.max("updated_at").alias("_now"))  # one row beside each of the log's
+    return S.stale(log.join(F.broadcast(now)), F.col("_now")).select("document_id")
 
 
 @query(f"SELECT document_id, status FROM {LAST} WHERE status IN ('MARKDOWN_READY', 'CLASSIFYING_SECTIONS', 'EXTRACTING_ENTITIES', 'MAPPING_TO_ONTOLOGY', 'LOADING_GRAPH')", graph=False)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import names as N
 
@@ -112,6 +113,32 @@ def page_marked(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list(one)), lambda x: x["text"])).alias("markdown"))
 
 
+FRONT = ("document_id", "title", "tags", "pdf_title", "pdf_author", "pages", "edition", "canon_type", "ocr", "body_title")
+
+
+def with_front_matter(docs: DataFrame, text_col: str = "markdown") -> DataFrame:
+    """docs with markdown after a block of what is known of each: the columns of FRONT that docs has and that aren't null, lists in brackets."""
+
+    def shown(c: str) -> Column:
+        kind = docs.schema[c].dataType
+        quoted = lambda v: F.concat(F.lit('"'), F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+        if isinstance(kind, T.ArrayType):
+            return F.concat(F.lit("["), F.concat_ws(", ", F.transform(c, quoted)), F.lit("]"))
+        return quoted(F.col(c)) if isinstance(kind, T.StringType) else F.col(c).cast("string")
+
+    known = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), shown(c))) for c in FRONT if c in docs.columns]
+    block = F.concat_ws("\n", F.lit("---"), *known, F.lit("---"), F.lit(""))
+    return docs.withColumn(text_col, F.concat(block, F.lit("\n"), F.coalesce(text_col, F.lit(""))))
+
+
+def markdown_of(documents: DataFrame, texts: DataFrame) -> DataFrame:
+    """document_id, markdown, status, error: each document's text; one whose object is missing has failed."""
+    own = texts.select(F.col("document_id").alias("_d"), "markdown", F.lit(True).alias("_there"))
+    found = documents.select("document_id").join(own, F.col("document_id") == F.col("_d"), "left")
+    missing = F.col("_there").isNull()
+    return found.select("document_id", "markdown", F.when(missing, "FAILED").otherwise("MARKDOWN_READY").alias("status"), F.when(missing, F.concat(F.lit("no Markdown object for "), "document_id")).alias("error"))
+
+
 def body_title(lines: DataFrame) -> DataFrame:
     """doc_id, body_title: the only heading of the least level that a document has; null if there are more."""
     level = F.length(F.regexp_extract("line", r"^(#{1,6})\s+\S", 1))

@@ -25,21 +25,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read back from the shared folder: no lineage, safe from lost executors."""
+    """The same rows, read back from the shared folder until the driver's JVM ends: no lineage, safe from lost executors."""
     path = f"{shared_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
+    p, files = _files(df.sparkSession, path)
+    files.deleteOnExit(p)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_quads(quads: DataFrame, path: str) -> None:
-    """One folder for each document; a document written again replaces what it had before."""
-    quads.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+def write_quads(quads: DataFrame, path: str) -> DataFrame:
+    """One folder for each document; a document written again replaces what it had before. Gives doc_id, subjects and triples as written."""
+    rows = cut(quads)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+    return rows.groupBy("doc_id").agg(F.countDistinct("s").alias("subjects"), F.count("*").alias("triples"))
 
 
 def drop_document(spark: SparkSession, path: str, doc_id: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/doc_id={doc_id}")
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    p, files = _files(spark, f"{path}/doc_id={doc_id}")
+    files.delete(p, True)
 
 
 def triples(quads: DataFrame) -> DataFrame:
@@ -47,8 +56,22 @@ def triples(quads: DataFrame) -> DataFrame:
     return quads.select("s", "p", "o", "o_kind", "datatype").dropDuplicates()
 
 
+#: What a literal's characters are written as; the backslash first.
+ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
+
+
 def _escaped(c):
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
+    for plain, written in ESCAPES:
+        c = F.replace(c, F.lit(plain), F.lit(written))
+    return c
+
+
+def _unescaped(c):
+    """Pairs of backslashes are set aside first, so that one before an n isn't taken for half of a line end."""
+    c = F.replace(c, F.lit(ESCAPES[0][1]), F.lit("\0"))
+    for plain, written in ESCAPES[1:]:
+        c = F.replace(c, F.lit(written), F.lit(plain))
+    return F.replace(c, F.lit("\0"), F.lit("\\"))
 
 
 def quad_lines(quads: DataFrame) -> DataFrame:
@@ -61,20 +84,33 @@ def export_nquads(quads: DataFrame, path: str) -> None:
     quad_lines(quads).write.mode("overwrite").option("compression", "gzip").text(path)
 
 
+FORM = r'^<([^>]*)> <([^>]*)> (?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>)?) <([^>]*)> \.$'
+
+
 def parse_nquads(lines: DataFrame) -> DataFrame:
-    form = r'^<([^>]*)> <([^>]*)> (?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>)?) <([^>]*)> \.$'
-    part = lambda k: F.regexp_extract("value", form, k)
-    lit = F.regexp_replace(F.regexp_replace(F.regexp_replace(part(4), r"\\n", "\n"), r'\\"', '"'), r"\\\\", r"\\")
+    """Quads of lines; blank lines and comments are passed over. A line of another form fails the job: nothing is left out silently."""
+    part = lambda k: F.regexp_extract("line", FORM, k)
     iri = part(3) != ""
-    return lines.where(F.col("value").rlike(form)).select(
-        part(6).alias("doc_id"), part(1).alias("s"), part(2).alias("p"), F.when(iri, part(3)).otherwise(lit).alias("o"), F.when(iri, "iri").otherwise("lit").alias("o_kind"), F.when(part(5).endswith("#integer"), "integer").when(~iri, "string").alias("datatype")
+    value = F.trim("value")
+    bad = F.raise_error(F.concat(F.lit("no N-Quads line: "), F.substring(value, 1, 200)))
+    rows = lines.where((value != "") & ~value.startswith("#")).select(F.when(value.rlike(FORM), value).otherwise(bad.cast("string")).alias("line"))
+    return rows.select(
+        part(6).alias("doc_id"), part(1).alias("s"), part(2).alias("p"), F.when(iri, part(3)).otherwise(_unescaped(part(4))).alias("o"), F.when(iri, "iri").otherwise("lit").alias("o_kind"), F.when(part(5).endswith("#integer"), "integer").when(~iri, "string").alias("datatype")
     )
 
 
-def import_nquads(spark: SparkSession, path: str, version: str, own_version: str, target_empty: bool = True) -> DataFrame:
-    """Quads of a backup, if its major and minor version are ours and nothing would be mixed."""
+def import_nquads(spark: SparkSession, path: str, target: str, version: str, own_version: str) -> bool:
+    """A backup's quads into the store at target, if its major and minor version are ours. False if this backup is there already; a store that
+    holds anything else is refused."""
     if version.split(".")[:2] != own_version.split(".")[:2]:
         raise ValueError(f"backup version {version} does not fit {own_version}")
-    if not target_empty:
+    mark, files = _files(spark, f"{target}/_backup")
+    if files.exists(mark):
+        if [tuple(r) for r in spark.read.parquet(mark.toString()).collect()] == [(path, version)]:
+            return False
+        raise ValueError("the target store holds another backup")
+    if files.exists(mark.getParent()) and len(files.listStatus(mark.getParent())):
         raise ValueError("the target store isn't empty")
-    return parse_nquads(spark.read.text(path))
+    write_quads(parse_nquads(spark.read.text(path)), target)
+    spark.createDataFrame([(path, version)], "path string, version string").coalesce(1).write.parquet(mark.toString())
+    return True

@@ -1,4 +1,7 @@
-"""The pipeline's state as an append-only log of rows (document_id, status, updated_at, ...) and its views; polling as streaming queries."""
+"""The pipeline's state as an append-only log of rows (document_id, status, updated_at, ...) and its views; polling as streaming queries.
+
+Views of an empty log are empty, its pages 0. A row without an id belongs to a document without one; a null time comes before any other.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 STATUSES = ("PENDING", "CONVERTING_PDF", "MARKDOWN_READY", "CLASSIFYING_SECTIONS", "EXTRACTING_ENTITIES", "MAPPING_TO_ONTOLOGY", "LOADING_GRAPH", "COMPLETED", "FAILED")
 WAITING, DONE = ("PENDING", "MARKDOWN_READY"), ("COMPLETED", "FAILED")
-PAGE, STALE_SECONDS, ERROR_CHARS = 10, 600, 2000
+PAGE, STALE_SECONDS, ERROR_CHARS, LEASE_SECONDS = 10, 600, 2000, 300
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -58,6 +61,33 @@ def stale(log: DataFrame, now: Column, seconds: int = STALE_SECONDS) -> DataFram
     return latest(log).where(in_progress()).where(age > seconds)
 
 
+def claimed(candidates: DataFrame, claims: DataFrame, owner: str, now: Column, lease: int = LEASE_SECONDS) -> DataFrame:
+    """Rows to append to the claims (document_id, owner, claimed_at, until): candidates that no one holds now."""
+    free = candidates.select("document_id").distinct().join(held(claims, now), "document_id", "left_anti")
+    return free.select("document_id", F.lit(owner).alias("owner"), now.alias("claimed_at"), F.timestamp_add("SECOND", F.lit(lease), now).alias("until"))
+
+
+def held(claims: DataFrame, now: Column) -> DataFrame:
+    """document_id, owner, until of claims that are in force: of two for one time the earlier one wins, then the smaller owner. A claim's later
+    rows by its owner renew or release it."""
+    by_owner = claims.where(F.col("claimed_at") <= now).groupBy("document_id", "owner").agg(F.min("claimed_at").alias("first"), F.max_by("until", F.struct("claimed_at", "until")).alias("until"), F.max(now).alias("_at"))
+    live = by_owner.where(F.col("until") > F.col("_at"))
+    return live.groupBy("document_id").agg(F.min_by(F.struct("owner", "until"), F.struct("first", "owner")).alias("c")).select("document_id", "c.*")
+
+
+def renewed(claims: DataFrame, owner: str, now: Column, lease: int = LEASE_SECONDS) -> DataFrame:
+    """Rows to append: an owner's claims in force hold longer. With a lease of 0 they are released; others' claims don't change."""
+    own = held(claims, now).where(F.col("owner") == owner)
+    return own.select("document_id", "owner", now.alias("claimed_at"), F.timestamp_add("SECOND", F.lit(lease), now).alias("until"))
+
+
+def advanced(log: DataFrame, steps: DataFrame) -> DataFrame:
+    """Rows to append: documents' last rows with what `steps` (document_id, updated_at and any of the log's columns) says anew."""
+    own = [c for c in steps.columns if c != "document_id"]
+    new = steps.select(F.col("document_id").alias("_d"), *[F.col(c).alias(f"_{c}") for c in own])
+    return latest(log).join(new, F.col("document_id") == F.col("_d")).select(*[F.coalesce(f"_{c}", c).alias(c) if c in own else F.col(c) for c in log.columns])
+
+
 def failed(document_id: str, error: str, stage: str) -> dict:
     return {"document_id": document_id, "status": "FAILED", "error": error[:ERROR_CHARS], "last_successful_stage": stage}
 
@@ -82,9 +112,12 @@ def progress() -> Column:
     )
 
 
-def type_assignments(folded: DataFrame, kind: str | None = None) -> DataFrame:
-    rows = folded if kind is None else folded.where(F.col("class") == kind)
-    return rows.select(F.regexp_replace("slug", "_", " ").alias("name"), "class").orderBy("name", "class")
+def type_assignments(folded: DataFrame, kind: str | None = None, limit: int | None = None) -> DataFrame:
+    """name, class, total (of all before the limit)."""
+    rows = (folded if kind is None else folded.where(F.col("class") == kind)).select(F.replace("slug", F.lit("_"), F.lit(" ")).alias("name"), "class")
+    total = F.broadcast(rows.agg(F.count("*").alias("total")))  # one row
+    out = rows.orderBy("name", "class")
+    return (out if limit is None else out.limit(limit)).join(total)
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -93,7 +126,7 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def watch(source: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, every: str = "10 seconds"):
-    """A poll loop: each micro-batch goes to `handle`; the checkpoint says what was handled, so no claim or lock is needed."""
+    """A poll loop: each micro-batch goes to `handle`; the checkpoint says what was handled. Where several drivers poll, `claimed` says whose a document is."""
     writer = source.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 

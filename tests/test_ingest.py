@@ -92,7 +92,8 @@ def test_hierarchy_merge_split():
     items = C.with_hierarchy([{"level": k, "title": t, "text": t, "token_count": 20} for k, t in ((1, "A"), (2, "B"), (3, "C"), (2, "D"))])
     assert [s["parent_index"] for s in items] == [None, 0, 1, 0] and items[2]["hierarchy"] == ["A", "B", "C"]
     merged = C.merge_small([{"title": "A", "text": "a " * 50, "token_count": 50}, {"title": "B", "text": "b", "token_count": 1}], 10, 100)
-    assert len(merged) == 1
+    assert merged == [{"title": "A", "text": "a " * 50 + "\n\nb", "token_count": 51}]
+    assert C.split_large({"text": "one " * 30, "token_count": 30}, 10)[0]["sub_index"] is None
     parts = C.split_large({"text": "\n\n".join(["w " * 40] * 5), "token_count": 200}, 100)
     assert [p["sub_index"] for p in parts] == [0, 1, 2] and all(p["token_count"] <= 100 for p in parts)
 
@@ -104,6 +105,23 @@ def test_toc():
     assert entries == [("Third", 9), ("Fourth", 12)] and rest[-1] == "Body text"
 
 
+def test_toc_of_sections(spark):
+    toc = "\n".join(["Preface ..... 1", "Start ..... 2", "Chapter 1: Land ..... 3", "Chapter 2: Sea ..... 9"])
+    body = "A body of words that is long enough to be kept as a section of its own, so it stays."
+    text = f"{toc}\n<!-- page: 4 -->\n# Hills\n{body}\n<!-- page: 12 -->\n# Waves\n{body}"
+    docs = spark.createDataFrame([("d", text), ("e", f"# chapter 2 sea\n{body}"), ("n", None)], "doc_id string, text string")
+    entries, rest = C.toc_and_body(docs)
+    assert [(r["title"], r["start"], r["chapter"]) for r in entries.orderBy("ord").collect()] == [("Chapter 1: Land", 3, 1), ("Chapter 2: Sea", 9, 2)]
+    found = C.with_toc(C.sections(C.classified(C.lines(rest))), entries.unionByName(entries.withColumn("doc_id", F.lit("e"))))
+    assert {(r["doc_id"], r["title"]): r["toc_title"] for r in found.collect()} == {("d", "Hills"): "Chapter 1: Land", ("d", "Waves"): "Chapter 2: Sea", ("e", "chapter 2 sea"): "Chapter 2: Sea"}
+
+
+def test_token_counts_agree(spark):
+    texts = ["", "a b", "don't stop_now", "été e\u0301 日本", "x\u00a0y\u2003z \t!", "½ 12,5 🙂"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(C.tokens(F.col("t"))).collect()] == [C.count_tokens(t) for t in texts]
+
+
 def test_extraction(spark):
     rows = [(1, '{"places": [{"name": "x"}]}'), (2, '```json\n{"places": []}\n```'), (3, '{"places": [{'), (4, "[1]"), (5, '{"places": "x"}'), (6, None), (7, '```\n{"places": [{}, {}]}')]
     got = {r["k"]: (r["ok"], r["n_places"]) for r in X.parsed(spark.createDataFrame(rows, "k int, body string"), ["places"]).collect()}
@@ -116,6 +134,15 @@ def test_extraction(spark):
     chunks = spark.createDataFrame([("d", 0, "dull", 5), ("d", 1, "Anna of Bold", 900)], "doc_id string, chunk_idx int, text string, token_count int")
     out = {r["chunk_idx"]: (r["label"], r["body"]) for r in X.with_model(chunks, Fixed(), ONTO, 100).collect()}
     assert out == {0: ("SKIP", None), 1: ("ENTITIES", "{}")}
+
+    class Broken:
+        def complete(self, prompt, text, max_tokens):
+            if "dull" in text:
+                raise TimeoutError("too long")
+            return "ENTITIES" if "Reply" in prompt else prompt
+
+    out = {r["chunk_idx"]: (r["label"], r["body"], r["error"]) for r in X.with_model(chunks, Broken(), ONTO, 100, hint=["Karl", "Bold"]).collect()}
+    assert out[0] == (None, None, "TimeoutError: too long") and out[1][1].endswith("Karl; Bold.") and out[1][2] is None
     kept, errors = X.fits(chunks, 500)
     assert kept.count() == 0 and "900" in errors.first()["error"]
 
@@ -134,6 +161,40 @@ def test_state(spark):
     assert [r["document_id"] for r in S.listed(df, 1, 2).collect()] == ["a", "b"]
 
 
+def test_claims(spark):
+    at = lambda s: F.lit(f"2026-01-01 00:{s}").cast("timestamp_ntz")
+    none = spark.createDataFrame([], "document_id string, owner string, claimed_at timestamp_ntz, until timestamp_ntz")
+    ids = spark.createDataFrame([("a",), ("b",)], "document_id string")
+    one = S.claimed(ids, none, "w1", at("00:00"), 60)
+    two = S.claimed(ids, none, "w0", at("00:01"), 60)  # another driver that had not seen the first claim
+    both = one.unionByName(two)
+    assert {(r["document_id"], r["owner"]) for r in S.held(both, at("00:30")).collect()} == {("a", "w1"), ("b", "w1")}
+    assert S.claimed(ids, both, "w2", at("00:30")).collect() == [] and S.renewed(both, "w2", at("00:30")).collect() == []
+    longer = both.unionByName(S.renewed(both, "w1", at("00:50"), 300).where("document_id = 'a'"))
+    assert {(r["document_id"], r["owner"]) for r in S.held(longer, at("03:00")).collect()} == {("a", "w1")}
+    freed = longer.unionByName(S.renewed(longer, "w1", at("03:10"), 0))
+    assert sorted(r["document_id"] for r in S.claimed(ids, freed, "w2", at("03:11")).collect()) == ["a", "b"]
+
+
+def test_progress_rows(spark):
+    df = log(spark, ("a", "CONVERTING_PDF", "2026-01-01 00:00:00"), ("b", "PENDING", "2026-01-01 00:00:00")).withColumns({c: F.lit(None).cast("int") for c in ("current_page", "total_pages", "current_chunk", "total_chunks", "entity_count")})
+    step = spark.createDataFrame([("a", 3, 9)], "document_id string, current_page int, total_pages int").withColumn("updated_at", F.lit("2026-01-01 00:01:00").cast("timestamp_ntz"))
+    more = S.advanced(df, step)
+    assert more.columns == df.columns and {r["document_id"]: r["p"] for r in S.latest(df.unionByName(more)).select("document_id", S.progress().alias("p")).collect()} == {"a": "page 3/9", "b": ""}
+
+
+def test_front_matter_and_missing_objects(spark):
+    docs = spark.createDataFrame([("a", 'A "b"', ["x", "y"], 3, None, "# One")], "document_id string, title string, tags array<string>, pages int, edition string, markdown string")
+    made = files.with_front_matter(docs).first()["markdown"]
+    assert made == '---\ndocument_id: "a"\ntitle: "A \\"b\\""\ntags: ["x", "y"]\npages: 3\n---\n\n# One'
+    back = C.front_matter(spark.createDataFrame([(made,)], "text string")).first()
+    import yaml
+
+    assert yaml.safe_load(back["meta"]) == {"document_id": "a", "title": 'A "b"', "tags": ["x", "y"], "pages": 3} and back["body"].strip() == "# One"
+    got = files.markdown_of(spark.createDataFrame([("a",), ("b",)], "document_id string"), docs.select("document_id", "markdown")).orderBy("document_id").collect()
+    assert [(r["status"], r["error"]) for r in got] == [("MARKDOWN_READY", None), ("FAILED", "no Markdown object for b")]
+
+
 def test_watch_handles_each_file_once(spark, tmp_path):
     seen, schema = [], "document_id string, status string"
     for k in range(2):
@@ -150,10 +211,17 @@ def test_store(spark, tmp_path):
     store.write_quads(q.where("doc_id = 'd1' and p = 'year'"), path)  # replaces d1, leaves d2
     assert sorted((r["doc_id"], r["p"]) for r in spark.read.parquet(path).collect()) == [("d1", "year"), ("d2", "p")]
     store.export_nquads(q, str(tmp_path / "nq"))
-    assert store.import_nquads(spark, str(tmp_path / "nq"), "0.2.7", "0.2.0").count() == 3
-    for args in (("0.3.0", "0.2.0"), ("0.2.0", "0.2.0", False)):
+    back = str(tmp_path / "back")
+    assert store.import_nquads(spark, str(tmp_path / "nq"), back, "0.2.7", "0.2.0") is True and spark.read.parquet(back).count() == 3
+    assert store.import_nquads(spark, str(tmp_path / "nq"), back, "0.2.7", "0.2.0") is False
+    for args in ((str(tmp_path / "new"), "0.3.0", "0.2.0"), (path, "0.2.0", "0.2.0"), (back, "0.2.8", "0.2.0")):
         with pytest.raises(ValueError):
             store.import_nquads(spark, str(tmp_path / "nq"), *args)
+    odd = spark.createDataFrame([("d", "s", "label", x, "lit", "string") for x in ("a\\nb", "a\nb", "\r\t", "\\", '\\"', '"\\\\n"')], store.QUADS)
+    assert sorted(map(repr, store.parse_nquads(store.quad_lines(odd)).select(*odd.columns).collect())) == sorted(map(repr, odd.collect()))
+    assert store.parse_nquads(spark.createDataFrame([("",), ("# note",)], "value string")).collect() == []
+    with pytest.raises(Exception, match="no N-Quads line"):
+        store.parse_nquads(spark.createDataFrame([("<a> <b> c",)], "value string")).collect()
     store.drop_document(spark, path, "d1")
     assert {r["doc_id"] for r in spark.read.parquet(path).collect()} == {"d2"}
 
