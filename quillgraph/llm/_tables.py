@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,22 +35,44 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+_SCOPES: list[list[Cut]] = []
+
+
 class Cut:
-    """A table written to the shared folder: it survives lost executors and ends the lineage."""
+    """A table written to the shared folder: it survives lost executors and ends the lineage.
+
+    It is deleted by drop(), at the end of a scope(), or else when the driver's JVM ends.
+    """
 
     def __init__(self, df: DataFrame, name: str = "cut"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self._files()[1].deleteOnExit(self._files()[0])
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
-    def drop(self) -> None:
+    def _files(self):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    def drop(self) -> None:
+        p, files = self._files()
+        files.delete(p, True)
+
+
+@contextmanager
+def scope() -> Iterator[list[Cut]]:
+    """Cuts made inside are dropped at the end, but for those that are taken out of the list."""
+    own: list[Cut] = []
+    _SCOPES.append(own)
+    try:
+        yield own
+    finally:
+        _SCOPES.remove(own)
+        for cut in own:
+            cut.drop()
 
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -10,23 +10,27 @@ copy, on diagonals (place in the text less place in the passage) that lie within
 3. bands with enough marks are verified by alignment inside the band: edit distance of the whole passage to any part of the text there.
 
 Texts are compared as lower-case letters and digits with single spaces; places are in that form. Items with fewer than q characters are
-passed over. Nulls: null texts and ids match nothing; repeated rows are each reported; an empty table on either side gives no match.
-The benchmark goes to the workers in blocks of BLOCK characters, one block after another.
+passed over. Nulls: null texts match nothing, null ids are kept, null items are passed over; repeated rows are each reported; an empty table
+on either side gives no match. A benchmark of BLOCK characters or less goes to the workers as one index. A larger one goes in blocks, one
+after another; texts are read once against the bits of all blocks' q-grams, and only those that may hold a copy of some block against each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._tables import pieces, ragged
+from ._tables import Cut, pieces, ragged
 
 Q = 8
 PASSAGE, STRIDE = 100, 50
@@ -38,6 +42,8 @@ EDITS = 0.08
 QUOTE_EDITS = 0.03
 BLOCK = 4_000_000
 BITS = 22
+#: 2 ** 30 bits (128 MB) are sent to each worker at most; of a benchmark beyond 134 million characters more texts pass, and none is lost.
+SCREEN_BITS = 30
 OTHER = regex.compile(r"[^\p{L}\p{N}]+")
 B1, B2, B4 = (pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in (1, 2, 4))
 
@@ -209,26 +215,68 @@ def _found(index: Index, ids: list, texts: list[str]) -> list[tuple]:
     return out
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of `most` characters or so; only one block is on the driver at a time."""
+@dataclass
+class Screen:
+    """The q-grams of all blocks in one table of bits: a text that no stretch has enough marks of holds no copy of any block."""
+
+    table: np.ndarray
+    bits: int
+    need: int
+    stretch: int
+
+    @classmethod
+    def empty(cls, characters: int) -> Screen:
+        bits = min(SCREEN_BITS, max(BITS, (8 * characters).bit_length()))
+        return cls(np.zeros(1 << bits - 3, dtype=np.uint8), bits, 1 << 30, PASSAGE)
+
+    def add(self, index: Index) -> None:
+        at = (index.hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        np.bitwise_or.at(self.table, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        if len(index.items):
+            self.need, self.stretch = min(self.need, int(index.need.min())), max(self.stretch, PASSAGE + int(index.budget.max()))
+
+    def passes(self, text: str | None) -> bool:
+        h = (grams(codes_of(normal(text))) >> np.uint64(64 - self.bits)).astype(np.int64)
+        at = np.flatnonzero(self.table[h >> 3] >> (h & 7) & 1)
+        return len(at) >= self.need and bool((np.searchsorted(at, at + self.stretch) - np.arange(len(at)) >= self.need).any())
+
+
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> tuple[int, int, Callable[[int], list[tuple[int, str]]]]:
+    """The number of blocks of `most` characters or so, the characters of all, and a function that fetches a block: only one is on the driver at a time."""
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = -(-int(total) // most)
+    total = int(items.agg(F.sum(F.length("t"))).first()[0] or 0)
+    n = -(-total // most)
+    return n, total, lambda k: sorted(tuple(r) for r in (items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)).collect())
+
+
+def _rows_with(docs: DataFrame, text_col: str, keep: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
+    """The rows of docs that keep() wants."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, text_col, 1 << 20):
+                yield part.filter(pa.array(keep(part), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _screened(docs: DataFrame, text_col: str, n: int, total: int, fetch: Callable[[int], list[tuple[int, str]]], edits: float) -> tuple[DataFrame, DataFrame]:
+    """The few rows of docs that may hold a copy of several blocks' items, written to be read for each block, and the other rows."""
+    screen = Screen.empty(total)
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield sorted(tuple(r) for r in part.collect())
+        screen.add(Index.build(fetch(k), edits))
+    held = docs.sparkSession.sparkContext.broadcast(screen)
+    passes = lambda part: [held.value.passes(t) for t in part.column(text_col).to_pylist()]
+    return Cut(_rows_with(docs, text_col, passes), "able").df, _rows_with(docs, text_col, lambda part: [not x for x in passes(part)])
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", edits: float = EDITS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", edits: float = EDITS, block: int = BLOCK) -> DataFrame:
     """id, item, start, end, edits, passages: a row for each text and item of which a passage was found in it."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"i {kind}, item long, start int, end int, edits int, passages int"
-    own = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) >= Q)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    out = docs.sparkSession.createDataFrame([], schema)
-    for block in blocks(benchmark, item_col, item_text):
-        index = docs.sparkSession.sparkContext.broadcast(Index.build(block, edits))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    own = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    schema = T.StructType([own.schema["i"], T.StructField("item", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("start", "end", "edits", "passages")]])
+
+    def found_in(df: DataFrame, index: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in pieces(batch, "t", 1 << 20):
                     found = _found(index.value, part.column("i").to_pylist(), part.column("t").to_pylist())
@@ -236,11 +284,44 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                     kinds = [part.schema.field("i").type, pa.int64(), *[pa.int32()] * 4]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["i", "item", "start", "end", "edits", "passages"])
 
-        out = out.unionByName(own.mapInArrow(run, schema))
+        return df.mapInArrow(run, schema)
+
+    context = docs.sparkSession.sparkContext
+    n, total, fetch = blocks(benchmark, item_col, item_text, block)
+    if n == 0:
+        out = docs.sparkSession.createDataFrame([], schema)
+    elif n == 1:
+        out = found_in(own, context.broadcast(Index.build(fetch(0), edits)))
+    else:
+        able, _ = _screened(own, "t", n, total, fetch, edits)
+        parts = []
+        for k in range(n):
+            index = context.broadcast(Index.build(fetch(k), edits))
+            parts.append(Cut(found_in(able, index), "found").df)
+            index.destroy()
+        out = reduce(DataFrame.unionByName, parts)
     return out.select(F.col("i").alias(id_col), F.col("item").alias(item_col), "start", "end", "edits", "passages")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs in which no passage of the benchmark was found. Columns as in docs."""
-    found = matches(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_leak")).distinct()
-    return docs.join(found, docs[id_col] == found["_leak"], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", edits: float = EDITS, block: int = BLOCK) -> DataFrame:
+    """The rows of docs in which no passage of the benchmark was found, whatever their ids. Columns as in docs; nothing is shuffled."""
+
+    def without(df: DataFrame, index: Broadcast) -> DataFrame:
+        def keep(part: pa.RecordBatch) -> list[bool]:
+            leaks = {k for k, *_ in _found(index.value, range(part.num_rows), part.column(text_col).to_pylist())}
+            return [k not in leaks for k in range(part.num_rows)]
+
+        return _rows_with(df, text_col, keep)
+
+    context = docs.sparkSession.sparkContext
+    n, total, fetch = blocks(benchmark, item_col, item_text, block)
+    if n == 0:
+        return docs
+    if n == 1:
+        return without(docs, context.broadcast(Index.build(fetch(0), edits)))
+    able, rest = _screened(docs, text_col, n, total, fetch, edits)
+    for k in range(n):
+        index = context.broadcast(Index.build(fetch(k), edits))
+        able = Cut(without(able, index), "able").df
+        index.destroy()
+    return rest.unionByName(able)

@@ -33,6 +33,8 @@ RADIUS = 3
 #: Entries of one table of the index that are compared in pairs at most.
 CROWD = 2000
 PIECE = 1 << 20
+#: Ids of later copies that are broadcast at most; more are joined by a shuffle.
+SMALL = 1_000_000
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
@@ -280,7 +282,9 @@ def hex_of(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
     """The rows of docs whose id is their component's smallest; rows without an id stay. Columns as in docs."""
     found = near_duplicates(docs, id_col, text_col).where(F.col("component") < F.col(id_col)).select(F.col(id_col).alias("_later")).distinct()
-    return docs.join(found, docs[id_col] == found["_later"], "left_anti")
+    later = Cut(found, "later").df
+    side = F.broadcast(later) if later.count() <= small else later
+    return docs.join(side, docs[id_col] == later["_later"], "left_anti")

@@ -169,11 +169,23 @@ def test_simhash_null_ids_repeats_empty_and_keep_first(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_later", F.lit("mine"))
     got = simhash.near_duplicates(df).collect()
     assert sorted((r["doc_id"] or -1, r["component"] or -1) for r in got) == [(-1, -1), (4, 4), (7, 4), (7, 4), (8, 8), (9, 9)]
-    kept = simhash.keep_first(df)
-    assert kept.columns == df.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 4, 8, 9]
+    for small in (0, 1_000_000):
+        kept = simhash.keep_first(df, small=small)
+        assert kept.columns == df.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 4, 8, 9]
     assert simhash.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_cuts_are_dropped(spark):
+    from quillgraph.llm._tables import Cut, scope
+
+    with scope() as cuts:
+        one, two = Cut(spark.range(3)), Cut(spark.range(4))
+        cuts.remove(two)
+    there = [c._files()[1].exists(c._files()[0]) for c in (one, two)]
+    assert there == [False, True] and two.df.count() == 4
+    two.drop()
+
+
 def test_xxh64_and_majority():
     rng = np.random.default_rng(1)
     data = rng.integers(0, 256, 4000).astype(np.uint8)
