@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import bpe, decontaminate, language_id, simhash, toxicity
-from quillgraph.llm._tables import Cut, table
+from quillgraph.llm._tables import Cut, scope, table
 from quillgraph.llm.queries import TOXIC
 
 
@@ -51,9 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = Cut(docs, name).df
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        with scope() as cuts:
+            kept = Cut(stage(spark, docs, sf_dir), name)
+            cuts.remove(kept)
+        if before:
+            before.drop()
+        docs, before = kept.df, kept
+    return STAGES[-1][1](spark, docs, sf_dir)
