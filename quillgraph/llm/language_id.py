@@ -1,12 +1,13 @@
 """Language identification by compression: each language has a zstandard raw-content dictionary of its own training text, and a text's
 language is the one whose dictionary makes it smallest.
 
-The whole text, lowered and with one space for whatever is no letter, is compressed with each dictionary. Short texts, whose sizes in bytes are coarse, are compressed at a stronger level and
-equal sizes are told apart by how many of the text's 4-grams stand in the dictionary. A decision is accepted if the runner-up needs more
-bytes by a margin, in proportion to the text; a text without a letter is `und` and never accepted.
+The whole text, lowered and with one space for whatever is no letter, is compressed with each dictionary in pieces of PIECE bytes, so that
+the dictionary counts alike in texts of every length; the sizes are added. Sizes are whole bytes, so less than one byte is taken off for the
+share of the text's 4-grams that stand in the dictionary: that orders equal sizes and no others. A decision is accepted if the runner-up needs
+more bytes by a margin, in proportion to the text; a text without a letter is `und` and never accepted.
 
 Nulls: a null or empty text is `und`, score 0. Rows are judged one by one, so repeated rows get equal results. Without training text
-every text is `und`.
+every text is `und`. Null ids are kept; rows without a language aren't learned from; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,13 +22,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import pieces
+
 #: Bytes of raw content for each language, characters of a training text at most, and the number of training texts that are drawn for each
 #: language (by a hash of the id, all being alike likely): the bounds of the training sample.
 DICT_BYTES = 96 << 10
 TRAIN_CHARS = 20_000
 TRAIN_DOCS = 300
+#: Languages that are learned at most, those with most rows first: a bound on the classifier, as each has a dictionary on every worker.
 LANGUAGES = 200
-SHORT = 600
+LEVEL, PIECE = 6, 16 << 10
+GRAM_BITS = 18
 #: A decision is accepted if the runner-up takes this share more bytes.
 MARGIN = 0.002
 
@@ -39,62 +44,76 @@ def letters(text: str) -> bytes:
     return OTHER.sub(" ", text.lower()).strip().encode("utf-8", "replace")
 
 
-def training_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_DOCS) -> dict[str, list[str]]:
-    """A bounded sample for each language: about `per_lang` texts, drawn by a hash of the id."""
+def grams(data: bytes) -> np.ndarray:
+    """A hash of GRAM_BITS bits of each 4 bytes in a row."""
+    b = np.frombuffer(data.ljust(4), dtype=np.uint8).astype(np.uint32)
+    code = b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)
+    return code * np.uint32(0x9E3779B1) >> np.uint32(32 - GRAM_BITS)
+
+
+def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> DataFrame | None:
+    """lang, i, t: about `per_lang` texts of each language, drawn by a hash of the id; None if no row has a language."""
     rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0) & (F.length(text_col) <= TRAIN_CHARS))
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()}
     if not counts:
-        return {}
+        return None
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_lang / n))])
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < share[F.col(lang_col)]).select(lang_col, F.col(id_col).cast("string").alias("i"), text_col).collect()
-    out: dict[str, list[str]] = {}
-    for lang, _, text in sorted(sample, key=lambda r: (r[0], len(r[1] or ""), r[1] or "", r[2])):
-        out.setdefault(lang, []).append(text)
-    return out
-
-
-def dictionaries(texts: dict[str, list[str]], size: int = DICT_BYTES) -> dict[str, bytes]:
-    """Raw content of each language: its distinct lines, as many as fit."""
-    out = {}
-    for lang, own in sorted(texts.items()):
-        kept, total = [], 0
-        for line in dict.fromkeys(letters(x) for t in own for x in t.split("\n")):
-            data = line + b" "
-            if total + len(data) <= size:
-                kept.append(data)
-                total += len(data)
-        if kept:
-            out[lang] = b"".join(kept)
-    return out
+    return rows.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t"))
+
+
+def content(texts: list[str], size: int = DICT_BYTES) -> bytes:
+    """Raw content: distinct lines, as many as fit."""
+    kept, total = [], 0
+    for line in dict.fromkeys(letters(x) for t in texts for x in t.split("\n")):
+        data = line + b" "
+        if total + len(data) <= size:
+            kept.append(data)
+            total += len(data)
+    return b"".join(kept)
+
+
+def dictionaries(sample: DataFrame | None, size: int = DICT_BYTES) -> dict[str, bytes]:
+    """Raw content of each language, made where its texts are: per_lang * TRAIN_CHARS characters or so are one group."""
+    if sample is None:
+        return {}
+
+    def made(own: pa.Table) -> pa.Table:
+        rows = sorted(zip(own["i"].to_pylist(), own["t"].to_pylist(), strict=True), key=lambda r: (len(r[0]), *r))
+        return pa.table({"lang": own["lang"].slice(0, 1).cast(pa.string()), "data": pa.array([content([t for _, t in rows], size)], pa.binary())})
+
+    found = sample.groupBy("lang").applyInArrow(made, "lang string, data binary").collect()
+    return {r["lang"]: bytes(r["data"]) for r in found if r["data"]}
 
 
 class Judge:
     def __init__(self, dicts: tuple[tuple[str, bytes], ...], margin: float = MARGIN):
         self.langs = [k for k, _ in dicts]
         self.margin = margin
-        self.grams = [{d[i : i + 4] for i in range(len(d) - 3)} for _, d in dicts]
-        self.by_level = {}
-        for level in (3, 15):
-            own = []
-            for _, data in dicts:
-                held = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                held.precompute_compress(level=level)
-                own.append(zstandard.ZstdCompressor(dict_data=held, level=level, write_content_size=False, write_checksum=False, write_dict_id=False))
-            self.by_level[level] = own
-
-    def sizes(self, data: bytes) -> list[int]:
-        return [len(c.compress(data)) for c in self.by_level[15 if len(data) < SHORT else 3]]
+        self.grams, self.by_lang = [], []
+        for _, data in dicts:
+            own = np.zeros(1 << GRAM_BITS, dtype=bool)
+            own[grams(data)] = True
+            self.grams.append(own)
+            held = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(level=LEVEL)
+            self.by_lang.append(zstandard.ZstdCompressor(dict_data=held, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
+
+    def sizes(self, data: bytes) -> np.ndarray:
+        sizes, shared, n = np.zeros(len(self.langs)), np.zeros(len(self.langs)), 1
+        for s in range(0, len(data), PIECE):
+            piece = data[s : s + PIECE]
+            sizes += [len(c.compress(piece)) for c in self.by_lang]
+            own = grams(piece)
+            shared += [np.count_nonzero(g[own]) for g in self.grams]
+            n += len(own)
+        return sizes - shared / n
 
     def judge(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score (the probability that the sizes give the language), accepted."""
         if not text or not self.langs or not LETTER.search(text):
             return "und", 0.0, False
-        data = letters(text)
-        sizes = np.array(self.sizes(data), dtype=float)
-        if len(data) < 4 * SHORT:
-            grams = {data[i : i + 4] for i in range(max(1, len(data) - 3))}
-            sizes -= np.array([len(grams & g) for g in self.grams]) / (len(grams) + 1)
+        sizes = self.sizes(letters(text))
         order = np.argsort(sizes, kind="stable")
         best = order[0]
         if len(sizes) == 1:
@@ -119,9 +138,9 @@ def judged(docs: DataFrame, dicts: dict[str, bytes], margin: float = MARGIN, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _judge(held.value, margin)
         for batch in batches:
-            found = [judge.judge(t.as_py()) for t in batch.column(text_col)]
-            cols = list(zip(*found, strict=True)) if found else ([], [], [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], names=[*batch.schema.names, *names])
+            for part in pieces(batch, text_col):
+                cols = list(zip(*[judge.judge(t.as_py()) for t in part.column(text_col)], strict=True))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], names=[*part.schema.names, *names])
 
     extra = [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
@@ -134,4 +153,4 @@ def held_out(id_col: str = "doc_id"):
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionaries from the rows of docs that aren't held out."""
-    return dictionaries(training_texts(docs.where(~held_out(id_col)), id_col, text_col, lang_col))
+    return dictionaries(sampled(docs.where(~held_out(id_col)), id_col, text_col, lang_col, TRAIN_DOCS))
