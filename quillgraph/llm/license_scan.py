@@ -1,20 +1,24 @@
-"""Licence scanning: lines, sentences, paragraphs and whole texts against licence templates by the Dice coefficient over word bigrams.
+"""Licence scanning: parts of texts against licence templates by the Dice coefficient over word bigrams.
 
 Words are lower-case runs of letters and digits. Dice is 2 |A and B| / (|A| + |B|) over the distinct bigrams. Two sizes can reach a
 coefficient t only if each is at least t / (2 - t) of the other, so templates out of these bounds are passed over. A unit that matches holds
 at least that share of the template's bigrams; so of each template one bigram more than may be missing is picked, rare ones first. Texts and
 lines that lack both words of all picked bigrams, and units without a picked bigram, are passed over before any other bigram is made.
 
-Units that go over line ends are paragraphs (up to a line without a letter or digit) and the sentences of paragraphs, for wrapped notices.
+Units are lines, their sentences, paragraphs of several lines (up to a line without a letter or digit), sentences that go over a line end,
+and whole texts. Besides, of each template all windows of as many words as it has are looked at that hold a picked bigram of it, wherever they
+stand in a text and however it is wrapped; for each licence the window that matches best (of equals the first template's, then the last in
+order of text) is a unit as well.
 
 Only DataFrame functions, no shuffle. Nulls: null and empty texts have no units; null ids are kept; repeated rows are each reported; an
-empty table gives an empty table. A unit's best template counts; on a tie the first name.
+empty table gives an empty table. A unit's best template counts; on a tie the first one.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
@@ -22,8 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 0.8
-#: A whole text of at most so many characters is a unit too; a longer one is beyond the size of every template.
-WHOLE = 20_000
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -56,6 +58,20 @@ SLACK = 1e-9
 COMMON = frozenset("a an and any are as be by for from in is it may of on or that the this to with you not no without use form terms work program project released".split())
 
 
+def none() -> Column:
+    return F.array().cast("array<string>")
+
+
+@dataclass(frozen=True)
+class Template:
+    k: int
+    name: str
+    words: list[str]
+    grams: list[str]
+    #: The bigrams of which a match holds one at least.
+    picked: list[str]
+
+
 def words_of(text: str) -> list[str]:
     return re.sub(r"[\W_]+", " ", text.lower()).split()
 
@@ -98,17 +114,49 @@ def normal(low: Column) -> Column:
     return F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "))
 
 
-def bigrams(norm: Column) -> Column:
-    w = F.split(norm, " ")
-    return F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))))
+def bigrams(w: Column) -> Column:
+    """Distinct bigrams of an array of words."""
+    return F.when(F.size(w) < 2, none()).otherwise(F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
+
+
+def dice_of(g: Column, b: Column) -> Column:
+    return 2.0 * F.size(F.array_intersect(g, b)) / (F.size(g) + F.size(b))
+
+
+def windows(w: Column, forms: list[Template], least: float) -> Column:
+    """For each licence the text of the window that matches one of its templates best, if one reaches `least`. w: the words of a text.
+
+    Windows of one text that are equal are compared once, so a notice that a text repeats costs what one does.
+    """
+    pair = lambda p: F.concat(F.get(w, p), F.lit(" "), F.get(w, p + 1))
+    places = F.when(F.size(w) > 1, F.sequence(F.lit(0), F.size(w) - 2)).otherwise(F.array().cast("array<int>"))
+    hits = F.filter(places, lambda p: pair(p).isin(sorted({x for f in forms for x in f.picked})))
+
+    def best(hits: Column, own: list[Template]) -> Column:
+        return F.array_max(F.concat(*[candidates(hits, f) for f in own]))["unit"]
+
+    def candidates(hits: Column, f: Template) -> Column:
+        m, held = len(f.words), F.array(*map(F.lit, f.grams))
+        own = F.filter(hits, lambda p: pair(p).isin(f.picked))
+        around = F.array_distinct(F.transform(own, lambda p: F.array_join(F.slice(w, F.greatest(p - (m - 2), F.lit(0)) + 1, F.least(p, F.lit(m - 2)) + m), " ")))
+        cut = lambda a: F.when(F.size(a) >= m, F.transform(F.sequence(F.lit(1), F.size(a) - m + 1), lambda s: F.array_join(F.slice(a, s, m), " "))).otherwise(none())
+        units = F.array_distinct(F.flatten(F.flatten(F.transform(around, lambda c: F.transform(F.array(F.split(c, " ")), cut)))))
+        scored = F.transform(units, lambda u: F.struct(dice_of(bigrams(F.split(u, " ")), held).alias("dice"), F.lit(-f.k).alias("k"), u.alias("unit")))
+        return F.filter(scored, lambda x: x["dice"] >= least)
+
+    by_name: dict[str, list[Template]] = {}
+    for f in forms:
+        by_name.setdefault(f.name, []).append(f)
+    bound = F.transform(F.array(hits), lambda h: F.when(F.size(h) > 0, F.array_compact(F.array(*[best(h, own) for own in by_name.values()]))).otherwise(none()))
+    return F.flatten(bound)
 
 
 def matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, unit (its normal form), licence, dice: each text's distinct units that reach `least`."""
-    forms = [(name, bigrams_of(words_of(text)), picked(words_of(text), least)) for name, text in templates]
-    low = min(len(g) for _, g, _ in forms) * least / (2 - least) - SLACK
-    high = max(len(g) for _, g, _ in forms) * (2 - least) / least + SLACK
-    pairs = sorted({pair for _, _, p in forms for pair in p})
+    forms = [Template(k, name, w := words_of(text), bigrams_of(w), [" ".join(p) for p in picked(w, least)]) for k, (name, text) in enumerate(templates)]
+    low = min(len(f.grams) for f in forms) * least / (2 - least) - SLACK
+    high = max(len(f.grams) for f in forms) * (2 - least) / least + SLACK
+    pairs = sorted({tuple(x.split()) for f in forms for x in f.picked})
     beside = by_rare_word(pairs)
     # behind explode, a text is lowered once and the tests on it aren't pushed below that
     texts = docs.select(F.col(id_col).alias("i"), F.explode(F.array(F.lower(text_col))).alias("t")).where(F.col("t").isNotNull() & holds_words(F.col("t"), beside))
@@ -117,31 +165,42 @@ def matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col:
     wrapped = F.filter(F.split("t", r"\n(?:[^\p{L}\p{N}\n]*(?:\n|$))+"), lambda u: F.contains(u, F.lit("\n")) & holds_words(u, beside))
     over = F.flatten(F.transform(wrapped, lambda u: F.concat(F.array(u), F.split(u, r"(?<=[.!?])(?=\s)"))))
     over = F.filter(over, lambda u: F.contains(F.btrim(u, F.lit(" \t\r\n")), F.lit("\n")))
-    whole = F.when(F.contains("t", F.lit("\n")) & (F.length("t") <= WHOLE), F.array("t")).otherwise(F.array().cast("array<string>"))
+    whole = F.when(F.contains("t", F.lit("\n")), F.array("t")).otherwise(none())
     found = F.filter(F.array_distinct(F.transform(F.concat(parts, over, whole), normal)), lambda u: holds_pairs(u, pairs))
-    units = texts.select("i", F.explode(found).alias("unit"))
-    units = units.select("i", "unit", bigrams(F.col("unit")).alias("g")).where((F.size("g") >= low) & (F.size("g") <= high))
-    held = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(name).alias("licence"), F.array(*[F.lit(x) for x in grams]).alias("b")) for k, (name, grams, _) in enumerate(forms)])
+    texts = texts.select("i", found.alias("found"), F.explode(F.array(normal(F.col("t")))).alias("n")).where(holds_pairs(F.col("n"), pairs))
+    texts = texts.select("i", "found", F.explode(F.array(F.split("n", " "))).alias("w"))
+    units = texts.select("i", F.explode(F.array_distinct(F.concat("found", windows(F.col("w"), forms, least)))).alias("unit"))
+    units = units.select("i", "unit", bigrams(F.split("unit", " ")).alias("g")).where((F.size("g") >= low) & (F.size("g") <= high))
+    held = F.array(*[F.struct(F.lit(f.k).alias("k"), F.lit(f.name).alias("licence"), F.array(*map(F.lit, f.grams)).alias("b")) for f in forms])
     ratio = F.lit(least / (2 - least) - SLACK)
     near = F.filter(held, lambda t: (F.size("g") >= ratio * F.size(t["b"])) & (F.size(t["b"]) >= ratio * F.size("g")))
-    dice = F.transform(near, lambda t: F.struct((2.0 * F.size(F.array_intersect("g", t["b"])) / (F.size("g") + F.size(t["b"]))).alias("dice"), (-t["k"]).alias("k"), t["licence"].alias("licence")))
+    dice = F.transform(near, lambda t: F.struct(dice_of(F.col("g"), t["b"]).alias("dice"), (-t["k"]).alias("k"), t["licence"].alias("licence")))
     best = units.select("i", "unit", F.array_max(dice).alias("m")).where(F.col("m.dice") >= least)
     return best.select(F.col("i").alias(id_col), "unit", F.col("m.licence").alias("licence"), F.round("m.dice", 6).alias("dice"))
 
 
 def oracle(templates=TEMPLATES, least: float = LEAST) -> str:
-    """The same rows by DuckDB, without the tests that pass units over."""
-    rows = ", ".join("({}, {}, [{}])".format(k, "'" + name + "'", ", ".join(f"'{g}'" for g in bigrams_of(words_of(text)))) for k, (name, text) in enumerate(templates))
+    """The same rows by DuckDB, but for units over line ends that aren't windows; without the tests that pass units over."""
+    rows = ", ".join("({}, {}, {}, [{}])".format(k, "'" + name + "'", len(words_of(text)), ", ".join(f"'{g}'" for g in bigrams_of(words_of(text)))) for k, (name, text) in enumerate(templates))
+    form = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     return f"""
-WITH t(k, licence, b) AS (VALUES {rows}),
-lines AS (SELECT doc_id, rn, unnest(string_split(text, chr(10))) AS line FROM (SELECT doc_id, text, row_number() OVER () AS rn FROM documents)),
+WITH t(k, licence, m, b) AS (VALUES {rows}),
+own AS (SELECT doc_id, text, row_number() OVER () AS rn FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, rn, unnest(string_split(text, chr(10))) AS line FROM own),
+ws AS (SELECT doc_id, rn, string_split({form.format("text")}, ' ') AS w FROM own),
+gs AS (SELECT doc_id, rn, generate_subscripts(w, 1) AS i, unnest(list_transform(range(1, len(w) + 1), lambda j: w[j] || ' ' || w[j + 1])) AS g, len(w) AS n FROM ws),
+tb AS (SELECT k, licence, m, len(b) AS nb, unnest(b) AS g FROM t),
+hits AS (SELECT doc_id, rn, k, licence, m, nb, g, unnest(range(greatest(1, i - m + 2), least(i, n - m + 1) + 1)) AS s FROM gs JOIN tb USING (g) WHERE i < n),
+near AS (SELECT doc_id, rn, k, licence, m, nb, s, count(DISTINCT g) AS shared FROM hits GROUP BY ALL HAVING shared >= nb * {least} / (2 - {least}) - 0.001),
+win AS (SELECT near.doc_id, near.rn, k, licence, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(s, s + m - 1)]) AS g, shared, nb, array_to_string(w[s:s + m - 1], ' ') AS u FROM near JOIN ws USING (rn)),
+best AS (SELECT doc_id, rn, arg_max(u, (2.0 * shared / (len(g) + nb), -k, u)) AS u FROM win WHERE 2.0 * shared / (len(g) + nb) >= {least} GROUP BY doc_id, rn, licence),
 units AS (
   SELECT doc_id, rn, line AS u FROM lines
   UNION ALL SELECT doc_id, rn, unnest(string_split(regexp_replace(line, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10))) FROM lines
-  UNION ALL SELECT doc_id, 0, text FROM documents WHERE contains(text, chr(10)) AND length(text) <= {WHOLE}),
-n AS (SELECT doc_id, trim(regexp_replace(lower(u), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS unit FROM units),
-w AS (SELECT doc_id, unit, string_split(unit, ' ') AS w FROM n WHERE unit <> ''),
-g AS (SELECT doc_id, unit, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM w WHERE len(w) BETWEEN 2 AND 400),
-d AS (SELECT doc_id, unit, k, licence, 2.0 * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice, row_number() OVER () AS u FROM (SELECT *, row_number() OVER () AS one FROM g), t)
-SELECT doc_id, unit, arg_max(licence, dice * 1000000 - k) AS licence, round(max(dice), 6) AS dice FROM (SELECT DISTINCT doc_id, unit, k, licence, dice FROM d WHERE dice >= {least}) GROUP BY doc_id, unit
+  UNION ALL SELECT doc_id, rn, text FROM own WHERE contains(text, chr(10))
+  UNION ALL SELECT doc_id, rn, u FROM best),
+n AS (SELECT DISTINCT doc_id, rn, {form.format("u")} AS unit FROM units),
+g AS (SELECT doc_id, rn, unit, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM (SELECT *, string_split(unit, ' ') AS w FROM n WHERE unit <> '') WHERE len(w) >= 2),
+d AS (SELECT doc_id, rn, unit, k, licence, 2.0 * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g, t WHERE len(g) BETWEEN len(b) * {least} / (2 - {least}) - 0.001 AND len(b) * (2 - {least}) / {least} + 0.001)
+SELECT doc_id, unit, arg_max(licence, (dice, -k)) AS licence, round(max(dice), 6) AS dice FROM d WHERE dice >= {least} GROUP BY doc_id, rn, unit
 """

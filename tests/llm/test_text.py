@@ -77,19 +77,19 @@ def test_decontamination_brute(spark):
     assert leaks(spark, docs, items) == want and 5 < len(want) < 40
 
 
-def test_decontamination_blocks_and_edges(spark, monkeypatch):
+def test_decontamination_blocks_and_edges(spark):
     rng = np.random.default_rng(5)
     items = [(k, prose(rng, 30)) for k in range(6)] + [(50, None), (None, "null id of an item"), (51, ""), (52, "short"), (53, items_53 := prose(rng, 30)), (53, items_53)]
     long = prose(rng, 60_000) + " " + items[3][1] + " " + prose(rng, 60_000)
     docs = [(1, items[0][1]), (1, items[0][1]), (2, None), (3, ""), (4, "short"), (None, items[1][1]), (5, long), (6, items_53), (7, "x" * 50_000), (8, items[0][1] + "\n" + items[1][1]), (9, prose(rng, 100))]
-    want = {(1, 0), (5, 3), (6, 53), (8, 0), (8, 1)}
-    assert leaks(spark, docs, items) == want
-    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (300,))
-    assert leaks(spark, docs, items) == want
+    want = {(1, 0), (None, 1), (5, 3), (6, 53), (8, 0), (8, 1)}
+    for block in (decontaminate.BLOCK, 300):
+        assert leaks(spark, docs, items, block=block) == want
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_leak", F.lit(1))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    kept = decontaminate.clean(df, bench)
-    assert kept.columns == df.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 2, 3, 4, 7, 9]
+    for block in (decontaminate.BLOCK, 300):  # by row: one without an id goes as well
+        kept = decontaminate.clean(df, bench, block=block)
+        assert kept.columns == df.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [2, 3, 4, 7, 9]
     assert decontaminate.clean(df, bench.limit(0)).count() == len(docs) and decontaminate.matches(df.limit(0), bench).count() == 0
 
 
@@ -114,6 +114,22 @@ def test_short_quotes_at_any_offset(spark):
 # ---- licences
 
 
+def brute_windows(words):
+    """For each licence the window of as many words as a template has that is closest to it."""
+    best = {}
+    for k, (name, t) in enumerate(license_scan.TEMPLATES):
+        own = license_scan.words_of(t)
+        b, m = set(license_scan.bigrams_of(own)), len(own)
+        if not b & set(license_scan.bigrams_of(words)):
+            continue
+        for s in range(len(words) - m + 1):
+            g = set(license_scan.bigrams_of(words[s : s + m]))
+            d = 2 * len(g & b) / (len(g) + len(b))
+            if d >= license_scan.LEAST:
+                best[name] = max(best.get(name, (0, 0, "")), (d, -k, " ".join(words[s : s + m])))
+    return {u for _, _, u in best.values()}
+
+
 def brute_licences(docs):
     forms = [(name, set(license_scan.bigrams_of(license_scan.words_of(t)))) for name, t in license_scan.TEMPLATES]
     out = set()
@@ -123,8 +139,9 @@ def brute_licences(docs):
         units = set()
         for line in t.split("\n"):
             units |= {line, *re.sub(r"([.!?])\s+", r"\1\n", line).split("\n")}
-        if "\n" in t and len(t) <= license_scan.WHOLE:
+        if "\n" in t:
             units.add(t)
+        units |= brute_windows(license_scan.words_of(t))
         for u in {" ".join(license_scan.words_of(u)) for u in units}:
             g = set(license_scan.bigrams_of(u.split()))
             scored = [(2 * len(g & b) / (len(g) + len(b)), -k, name) for k, (name, b) in enumerate(forms) if g]
@@ -142,6 +159,7 @@ def test_licences_brute(spark):
             w[len(w) // 2] = "otherword"
         docs.append((100 + k, " ".join(w).upper()))
     docs += [(500, None), (501, ""), (502, "\n\n"), (503, "the license"), (504, "Released under the\nMIT License."), (505, "word " * 200_000)]
+    docs += [(506, "x y. Released\nunder the MIT\nlicense z " + prose(rng, 400) * 40), (507, "Released under the MIT License. " * 900), (508, "see: licensed under cc by 4 0 and Licensed under CC BY-SA 4.0, both")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("i", "t", "unit", "g", "p")})
     got = {tuple(r) for r in license_scan.matches(df).collect()}
     assert got == brute_licences(docs) and len(got) > 30
@@ -161,9 +179,11 @@ def test_licences_wrapped_notices(spark, start):
         docs.append((k, f"{prose(rng, 90)}\n{start.strip()}\n{notice}\n{start.strip()}\n{prose(rng, 90)}"))
         inside = "\n".join(start + x for x in textwrap.wrap(f"{prose(rng, 60)}. {t.rstrip('.')}. {prose(rng, 60)}", 50))
         docs.append((100 + k, f"{prose(rng, 40)}\n{inside}"))
+        amid = "\n".join(start + x for x in textwrap.wrap(f"{prose(rng, 60)} {t.rstrip('.')} {prose(rng, 60)}", 40))  # no sentence of its own
+        docs.append((200 + k, f"{prose(rng, 40)}\n{amid}"))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     found = {(r["doc_id"], r["licence"]) for r in license_scan.matches(df).collect()}
-    assert len(long) == 3 and found >= {(i, name) for k, name, _ in long for i in (k, 100 + k)}
+    assert len(long) == 3 and found >= {(i, name) for k, name, _ in long for i in (k, 100 + k, 200 + k)}
 
 
 # ---- URLs
@@ -211,6 +231,68 @@ def test_url_templates(spark):
     assert all(got[k]["verdict"] == ("block" if k % 3 == 0 else "allow") for k in range(300))
 
 
+def brute_tree(urls, rules):
+    """page -> (template, verdict) by the tree as it is stated, one branch after the other."""
+    rows = {}
+    for i, url in urls:
+        host, path, _, said = brute_url(url)
+        segs = tuple("*" if re.search(url_filter.VARIABLE, x) else x for x in path.split("/") if x)
+        rows[i] = (host, segs, said)
+    template = {}
+
+    def grow(paths, d, t):
+        if len({rows[i][1] for i in paths}) == 1:
+            for i in paths:
+                template[i] = t + "/*" * (len(rows[i][1]) - d)
+            return
+        known = [i for i in paths if rows[i][2]]
+        pooled = sum(rows[i][2] == "block" for i in known) / len(known) if known else None
+        kids = {}
+        for i in paths:
+            kids.setdefault(rows[i][1][d] if d < len(rows[i][1]) else "", []).append(i)
+        names = {}
+        n_kinds = len(kids.keys() - {""})
+        for seg, own in kids.items():
+            mine = [i for i in own if rows[i][2]]
+            share = sum(rows[i][2] == "block" for i in mine) / len(mine) if mine else None
+            unlike = bool(mine) and abs(share - pooled) > url_filter.DIFFERENT * (max(pooled * (1 - pooled), 1e-4) / len(mine)) ** 0.5
+            many = n_kinds >= url_filter.SIBLINGS and n_kinds >= url_filter.UNLIKE * len(paths)
+            names.setdefault(t if seg == "" else t + ("/*" if seg == "*" or many or not unlike else "/" + seg), []).append((seg == "", own))
+        for name, groups in names.items():
+            for _, own in [g for g in groups if g[0]]:
+                template.update(dict.fromkeys(own, name))
+            if further := [i for end, own in groups if not end for i in own]:
+                grow(further, d + 1, name)
+
+    out = {}
+    known = [r for r in rows.values() if r[2]]
+    prior = sum(r[2] == "block" for r in known) / len(known) if known else 0
+    for host in {r[0] for r in rows.values()}:
+        paths = [i for i in rows if rows[i][0] == host]
+        grow(paths, 0, "")
+        judged = [i for i in paths if rows[i][2]]
+        share = (sum(rows[i][2] == "block" for i in judged) + url_filter.SMOOTH * prior) / (len(judged) + url_filter.SMOOTH)
+        for i in paths:
+            same = [j for j in judged if template[j] == template[i]]
+            pure = (sum(rows[j][2] == "block" for j in same) + url_filter.SMOOTH * share) / (len(same) + url_filter.SMOOTH)
+            out[i] = (template[i], rows[i][2] or ("block" if judged and pure >= url_filter.REJECT else "allow"))
+    return out
+
+
+def test_url_tree_brute(spark):
+    """Deep and shallow paths, branches of one path, many siblings, and hosts without any labelled page."""
+    rng = np.random.default_rng(21)
+    urls = []
+    for k in range(900):
+        host = rng.choice(["a.com", "b.example.org", "c.net", "d.com", "x.org"])
+        deep = [str(rng.choice(["fr", "de", "es", "en", "1", "12", "news", "p", "q"])) for _ in range(int(rng.integers(0, 7)))]
+        urls.append((k, f"http://{host}/" + "/".join(deep) + ("/" if k % 9 == 0 else "") + (f"/item-{k}" if k % 4 == 0 else "")))
+    urls += [(1000, "http://d.com/" + "z/" * 300), (1001, None), (1002, "http://lone.net/a/b/c")]
+    want = brute_tree(urls, url_filter.RULES)
+    got = {r["page_id"]: (r["template"], r["verdict"]) for r in url_filter.judged(spark.createDataFrame(urls, "page_id long, url string")).collect()}
+    assert got == want and len({t for t, _ in got.values()}) > 20 and any(t.count("/") > 3 for t, _ in got.values())
+
+
 def test_url_plan_is_native(spark):
     df = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
     for plan in (url_filter.judged(df), license_scan.matches(df.selectExpr("page_id AS doc_id", "url AS text"))):
