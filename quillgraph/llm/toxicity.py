@@ -50,7 +50,7 @@ def allowed(term: str) -> int:
 
 def terms_of(word: str) -> list[str]:
     """A word, and its beginnings of 4 to 8 letters (a star at the end)."""
-    return [word, *(word[:k] + "*" for k in range(4, min(9, len(word))))] if len(word) > 2 and word.isalpha() and len(word) <= 40 else []
+    return [word, *(word[:k] + "*" for k in range(4, min(9, len(word))))] if len(word) > 2 and word.isalpha() else []
 
 
 class Automaton:
@@ -159,7 +159,7 @@ class Matcher:
             for t in terms_of(word):
                 if t in w and (best is None or w[t] > best[1]):
                     best = (t, w[t], False)
-            if best is None and len(word) < 40 and (m := self.automaton.match(word)) and m[1]:
+            if best is None and (m := self.automaton.match(word)) and m[1]:
                 best = (m[0], w[m[0]] * self.model.misspelled.get(m[0], 1.0), True)
         self.known[raw] = best
         return best
@@ -189,7 +189,7 @@ class Matcher:
                 start += 1
             dense = max(dense, run)
         total = sum(weigh)
-        return [math.log1p(total), min(dense, 30) / 10, math.log1p(len(terms)), total / math.sqrt(10 + len(tokens)), math.log1p(len(at))]
+        return [math.log1p(total), dense / 10, math.log1p(len(terms)), total / math.sqrt(10 + len(tokens)), math.log1p(len(at))]
 
     def batch(self, texts: pa.Array) -> np.ndarray:
         codes, first, distinct = words(texts)
