@@ -6,8 +6,10 @@ most, so only pairs whose product plus that bound reaches the threshold are comp
 tile of vectors with another are one matrix product; float32 holds these integer sums exactly up to 1040 dimensions, beyond that float64 is used.
 
 Equal vectors of a label count as one with a weight. Vectors are put into tiles by the signs of fixed projections, so tiles are narrow
-where vectors cluster, and a pair of tiles whose centres are further apart than both radii and the threshold's angle is passed over.
-A pair of tiles gives each vector its number of links and enough edges to connect what its links connect: never the pairs themselves.
+where vectors cluster. Pairs of tiles are passed over in three steps, each with less data than the next: by a table of centres and radii, those
+whose centres are further apart than both radii and the threshold's angle; by the 8-bit codes and bounds alone, those without a product that may
+reach the threshold; only for the others the doubles are fetched. A pair of tiles gives each vector its number of links and enough edges to
+connect what its links connect: never the pairs themselves.
 
 Nulls: vectors that are null, empty or zero, or hold null or non-finite components, and rows with a null label or id, link with nothing.
 Vectors of different lengths link with nothing. Rows are counted one by one: a repeated row is a vector of its own. An empty table gives an empty one.
@@ -16,6 +18,7 @@ Vectors of different lengths link with nothing. Rows are counted one by one: a r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ from .components import connected_components
 TILE = 1024
 SLACK = 1e-9
 PLANES = 12
+#: Tiles whose centres are broadcast at most (a number for each dimension); more are joined by a shuffle.
+SMALL = 10_000
 
 
 def keyed(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
@@ -99,19 +104,73 @@ class Tile:
         self.centre = centre / size if size else None
         self.radius = float(np.arccos(np.clip(self.unit @ self.centre, -1, 1)).max()) if size else np.pi
 
-    def far(self, other: Tile, least: float) -> bool:
-        if self.centre is None or other.centre is None:
-            return False
-        return float(np.arccos(np.clip(self.centre @ other.centre, -1, 1))) > self.radius + other.radius + np.arccos(least) + 1e-6
 
-
-def linked(a: Tile, b: Tile, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places in a and b of the pairs that link."""
+def products(a, b) -> np.ndarray:
+    """Upper bounds of the cosines of two tiles' vectors from their codes."""
     kind = np.float32 if a.q.shape[1] <= 1040 else np.float64
     product = (a.q.astype(kind) @ b.q.astype(kind).T).astype(np.float64)
     product *= a.s[:, None]
     product *= b.s[None, :]
     product += a.a[:, None] * b.r[None, :] + a.r[:, None] * (b.a + b.r)[None, :]
+    return product
+
+
+@dataclass
+class Codes:
+    q: np.ndarray
+    s: np.ndarray
+    r: np.ndarray
+    a: np.ndarray
+
+    @classmethod
+    def read(cls, codes: bytes, scales: bytes) -> Codes:
+        s, r, a = np.frombuffer(scales, dtype=np.float64).reshape(3, -1)
+        return cls(np.frombuffer(codes, dtype=np.int8).reshape(len(s), -1), s, r, a)
+
+
+def coded(made: DataFrame) -> DataFrame:
+    """label, dim, tile, centre (null if the vectors have none), radius, codes, scales of each tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                t = Tile(batch.column("rows")[k].values)
+                own = [pa.array([None if t.centre is None else t.centre.tolist()], pa.list_(pa.float64())), pa.array([t.radius]), pa.array([t.q.tobytes()], pa.binary()), pa.array([np.stack([t.s, t.r, t.a]).tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(k, 1) for c in ("label", "dim", "tile")], *own], names=["label", "dim", "tile", "centre", "radius", "codes", "scales"])
+
+    return made.mapInArrow(run, f"label string, dim {made.schema['dim'].dataType.simpleString()}, tile long, centre array<double>, radius double, codes binary, scales binary")
+
+
+def near_tiles(tiles: DataFrame, least: float) -> DataFrame:
+    """label, dim, tile, other (not before tile) that aren't too far apart, from their centres and radii alone."""
+    names = tiles.select("label", "dim", "tile", "centre", "radius")
+    others = tiles.select("label", "dim", F.col("tile").alias("other"), F.col("centre").alias("centre2"), F.col("radius").alias("radius2"))
+    dot = F.aggregate(F.zip_with("centre", "centre2", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
+    near = F.col("centre").isNull() | F.col("centre2").isNull() | (apart <= F.col("radius") + F.col("radius2") + float(np.arccos(least)) + 1e-6)
+    if tiles.count() <= SMALL:  # so a label that holds most tiles is dealt out by its tiles
+        names, others = names.repartition("label", "dim", "tile"), F.broadcast(others)
+    return names.join(others, ["label", "dim"]).where((F.col("tile") == F.col("other")) | ((F.col("tile") < F.col("other")) & near)).select("label", "dim", "tile", "other")
+
+
+def _possible(least: float):
+    """Which pairs of tiles have a product that may reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k in range(batch.num_rows):
+                a, b = (Codes.read(batch.column(f"codes{n}")[k].as_py(), batch.column(f"scales{n}")[k].as_py()) for n in (1, 2))
+                keep.append(bool((products(a, b) >= least - SLACK).any()))
+            names = ["label", "dim", "tile", "other"]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names], names=names).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def linked(a: Tile, b: Tile, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and b of the pairs that link."""
+    product = products(a, b)
     i, j = np.nonzero(product >= least - SLACK)
     if len(i):
         ok = np.concatenate([np.einsum("nd,nd->n", a.unit[i[k : k + 65536]], b.unit[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) >= least
@@ -149,8 +208,6 @@ def _compare(least: float):
                 same = batch.column("other")[k].as_py() == name[2]
                 a = held[1]
                 b = a if same else Tile(right.values)
-                if a.far(b, least):
-                    continue
                 i, j = linked(a, b, least)
                 if same:
                     i, j = i[i < j], j[i < j]
@@ -174,10 +231,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     able = rows.where("key is not null")
     classes = Cut(able.groupBy("label", "key").agg(F.min("i").alias("rep"), F.count("*").alias("n"), F.first("place").alias("place")).withColumn("dim", F.length("key") / 8), "classes").df
     made = Cut(tiles(classes, tile), "tiles").df
-    names = made.select("label", "dim", "tile")
-    others = names.select("label", "dim", F.col("tile").alias("other"))
-    pairs = names.join(others, ["label", "dim"]).where("tile <= other")  # names only: as many as comparisons to make
+    tiles_ = Cut(coded(made), "codes").df
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = Cut(near_tiles(tiles_, least), "pairs").df
+    side = lambda k: tiles_.select("label", "dim", F.col("tile").alias("tile" if k == 1 else "other"), F.col("codes").alias(f"codes{k}"), F.col("scales").alias(f"scales{k}"))
+    both = pairs.where("tile <> other").join(side(1), ["label", "dim", "tile"]).join(side(2), ["label", "dim", "other"]).select("label", "dim", "tile", "other", "codes1", "scales1", "codes2", "scales2")
+    schema = pairs.select("label", "dim", "tile", "other").schema
+    able_pairs = both.repartition(n, "label", "dim", "tile", "other").mapInArrow(_possible(least), schema)
+    pairs = Cut(able_pairs.unionByName(pairs.where("tile = other")), "pairs").df
     work = pairs.join(made.withColumnRenamed("rows", "left"), ["label", "dim", "tile"])
     work = work.join(made.select("label", "dim", F.col("tile").alias("other"), F.col("rows").alias("right")), ["label", "dim", "other"])
     found = Cut(work.select("label", "dim", "tile", "other", "left", F.when(F.col("tile") != F.col("other"), F.col("right")).alias("right")).repartition(n, "label", "dim", "tile", "other").mapInArrow(_compare(least), "rep long, n long, to long"), "found").df
