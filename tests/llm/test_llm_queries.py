@@ -4,14 +4,18 @@ import hashlib
 import zlib
 
 import duckdb
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from quillgraph.llm import bpe, decontaminate, language_id, toxicity
+from quillgraph.llm import bpe, decontaminate, html_extract, language_id, token_packing, toxicity, url_filter
 from quillgraph.llm._tables import table
 from test_neardup import brute_fingerprint, classes_of
+from test_text import brute_labels, brute_tree, brute_url
+from test_tokens import brute_best_fit
 
 DATA = "/root/testdata/sf0.001"
 SHAPES = {
@@ -66,6 +70,75 @@ def test_op4_brute(results):
     assert sorted(map(tuple, results["op4_simhash_neardup"].select("doc_id", "fingerprint", "component_id").collect())) == [(i, f"{fps[i]:016x}", comp[i]) for i in ids]
 
 
+def test_op2_brute(results):
+    d = columns("pages")
+    want = brute_tree(list(zip(d["page_id"], d["url"], strict=True)), url_filter.RULES)
+    got = {r["page_id"]: (r["template"], r["verdict"]) for r in results["op2_url_filter"].collect()}
+    assert got == want
+    for r in results["op2_url_filter"].collect():
+        assert (r["host"], r["path"], r["rule"]) == brute_url(dict(zip(d["page_id"], d["url"], strict=True))[r["page_id"]])[:3]
+
+
+@pytest.fixture(scope="module")
+def library():
+    t = Tokenizer.from_file(bpe.default_path())
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+def test_op5_brute(results, library):
+    d = columns("documents")
+    want = {i: [*e.ids, 49407] for i, e in zip(d["doc_id"], library.encode_batch([t or "" for t in d["text"]], add_special_tokens=False), strict=True)}
+    rows, got = results["op5_token_packing"].collect(), {}
+    for r in rows:
+        ids = np.frombuffer(bytes(r["ids"]), dtype="<u2")
+        assert len(ids) == token_packing.LENGTH and r["cu_seqlens"][-1] == r["n_tokens"] and set(ids[r["n_tokens"] :].tolist()) <= {49407}
+        for i, s, a, b in zip(r["doc_ids"], r["starts"], r["cu_seqlens"][:-1], r["cu_seqlens"][1:], strict=True):
+            got.setdefault(i, []).append((s, ids[a:b].tolist()))
+    assert {i: [t for _, part in sorted(p) for t in part] for i, p in got.items()} == want
+    size = token_packing.LENGTH
+    parts = sorted((min(size, len(x) - s) for x in want.values() for s in range(0, len(x), size)), reverse=True)
+    assert sorted(r["n_tokens"] for r in rows) == sorted(map(sum, brute_best_fit(parts, size)))
+
+
+def test_op9_library(results, library):
+    d = columns("documents")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    encoded = library.encode_batch([t or "" for t in d["text"]], add_special_tokens=False)
+    want = {i: (len(e.ids), sha(" ".join(map(str, e.ids))), sha(library.decode(e.ids, skip_special_tokens=False))) for i, e in zip(d["doc_id"], encoded, strict=True)}
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in results["op9_bpe"].collect()} == want
+
+
+def test_op10_brute(results):
+    d = columns("pages")
+    want = {}
+    for i, page in zip(d["page_id"], d["html"], strict=True):
+        found = html_extract.blocks(page or "")
+        want[i] = "\n".join(b.text for b, x in zip(found, brute_labels(found), strict=True) if x == 1)
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in results["op10_html_extract"].collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
+def test_op8_brute(spark, results):
+    """Sizes by plain compressors, a new one for each text and language."""
+    import zstandard
+
+    d, dicts = columns("documents"), language_id.train(table(spark, DATA, "documents"))
+    got = {r["doc_id"]: r["lang_pred"] for r in results["op8_language_id"].collect()}
+    assert len(dicts) == 4
+    for i, t in zip(d["doc_id"], d["text"], strict=True):
+        data = language_id.letters(t or "")
+        if not data:
+            assert got[i] == "und"
+            continue
+        sizes = {}
+        for lang, own in dicts.items():
+            c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=language_id.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(c.compress(data[s : s + language_id.PIECE])) for s in range(0, len(data), language_id.PIECE))
+        assert sizes[got[i]] <= min(sizes.values()) + 1, (i, sizes)
+
+
 def test_held_out_flags_and_accuracy(results):
     d = columns("documents")
     lang = dict(zip(d["doc_id"], d["lang"], strict=True))
