@@ -12,8 +12,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import title_key
+from ..session import partitions
 
 CHUNKS = "doc_id string, chunk_idx int, sub_index int, text string, title string, page int, level int, token_count int, parent_index int, hierarchy array<string>"
 TOC_LINE = r"^\s*(?:\|\s*)?(?:[-*+]\s+)?(?:\*\*)?(.+?)(?:\*\*)?\s*(?:\.{2,}|\s\|\s|\s{2,}|\t)[\s.|]*(\d{1,4})\s*\|?\s*$"
@@ -43,7 +45,8 @@ def count_tokens(text: str) -> int:
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line_no, line."""
-    return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+    known = F.col(id_col) if docs.schema[id_col].dataType == T.StringType() else F.col(id_col).cast("string")  # a cast would hide how rows are dealt
+    return docs.select(known.alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
 
 
 def front_matter(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -225,7 +228,9 @@ AWAY = (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?is
 
 def pages_as_markdown(pages: DataFrame) -> DataFrame:
     """doc_id (the page), line_no, line: each web page's whole text as Markdown lines: its marker, headings with their marks, paragraphs between
-    blank lines. A page is one document; a null page has no lines."""
+    blank lines. A page is one document; a null page has no lines. Whole pages are dealt by id, so windows and groups of a document's lines need
+    no other shuffle."""
+    dealt = pages.where("html is not null and page_id is not null").select(F.col("page_id").cast("string").alias("doc_id"), "html").repartition(partitions(pages.sparkSession), "doc_id")
     text = F.col("html")
     for form in AWAY:
         text = F.regexp_replace(text, form, " ")
@@ -233,5 +238,5 @@ def pages_as_markdown(pages: DataFrame) -> DataFrame:
     for k in range(1, 7):
         text = F.regexp_replace(text, rf"(?i)<h{k}\b[^>]*>", "\n\n" + "#" * k + " ")
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, LINE_TAGS, "\n\n"), r"<[^>]*>", ""), r" *\n\s*\n *", "\n\n")
-    marked = F.concat(F.lit("<!-- page: "), F.col("page_id").cast("string"), F.lit(" -->\n\n"), F.btrim(text))
-    return lines(pages.where("html is not null and page_id is not null").select("page_id", marked.alias("text")), "page_id")
+    marked = F.concat(F.lit("<!-- page: "), F.col("doc_id"), F.lit(" -->\n\n"), F.btrim(text))
+    return lines(dealt.select("doc_id", marked.alias("text")))

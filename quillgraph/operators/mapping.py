@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import clean_name, slug, year
-from ..plans.ontology import Entity, Ontology
+from ..plans.ontology import Entity, Field, Ontology
 from ..sources.store import cut
 
 #: Stands for the page of a mention without one.
@@ -28,23 +28,26 @@ def _text(v: str, name: str) -> Column:
 def _items(v: str, name: str) -> Column:
     """A list field's texts; a scalar is a list of one, null or absent is empty."""
     many = F.expr(f"try_variant_get({v}, '$.{name}', 'array<string>')")
-    one = F.expr(f"try_variant_get({v}, '$.{name}', 'string')")
-    return F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>"))
+    return F.coalesce(many, F.filter(F.array(_text(v, name)), lambda x: x.isNotNull()))
 
 
 def entities(extracted: DataFrame, onto: Ontology) -> DataFrame:
-    """doc_id, chunk_idx, ord, pos, key, book, pages, name, slug, class, v (the object): one row for each named object."""
+    """doc_id, chunk_idx, ord, pos, key, book, pages, name, slug, class, v (the object): one row for each named object.
+
+    A reply is parsed once, whatever the number of keys: the objects of all keys are one array.
+    """
     parsed = extracted.withColumn("_j", F.expr("try_parse_json(body)"))
-    out = []
-    for k, e in enumerate(onto.entities):
-        rows = parsed.select("doc_id", "chunk_idx", "ord", "page", "book", F.posexplode(F.expr(f"try_variant_get(_j, '$.{e.key}', 'array<variant>')")).alias("pos", "v"))
-        name = clean_name(_text("v", "name"))
-        listed = F.filter(_items("v", "page_references"), lambda x: F.trim(x) != "")
-        scalar = F.nullif(F.trim(_text("v", "page_reference")), F.lit(""))
-        pages = F.when(F.size(listed) > 0, listed).when(scalar.isNotNull(), F.array(scalar)).when(F.col("page").isNotNull(), F.array(F.col("page").cast("string"))).otherwise(F.array().cast("array<string>"))
-        own = rows.select("doc_id", "chunk_idx", (F.col("ord") * len(onto.entities) + k).alias("ord"), "pos", F.lit(e.key).alias("key"), "book", pages.alias("pages"), name.alias("name"), resolve_class(e).alias("class"), "v")
-        out.append(own.where("name is not null").withColumn("slug", slug(F.col("name"))).where("slug <> ''"))
-    return reduce(DataFrame.unionByName, out)
+    tagged = lambda k: lambda v, pos: F.struct(F.lit(k).alias("k"), pos.alias("pos"), v.alias("v"))
+    listed = [F.transform(F.expr(f"try_variant_get(_j, '$.{e.key}', 'array<variant>')"), tagged(k)) for k, e in enumerate(onto.entities)]
+    rows = parsed.select("doc_id", "chunk_idx", "ord", "page", "book", F.explode(F.flatten(F.filter(F.array(*listed), lambda x: x.isNotNull()))).alias("_x")).select("*", "_x.*")
+    pages, single = F.filter(_items("v", "page_references"), lambda x: F.trim(x) != ""), F.nullif(F.trim(_text("v", "page_reference")), F.lit(""))
+    pages = F.when(F.size(pages) > 0, pages).otherwise(F.filter(F.array(F.coalesce(single, F.col("page").cast("string"))), lambda x: x.isNotNull()))
+    of_key = lambda f: reduce(lambda c, ke: c.when(F.col("k") == ke[0], f(ke[1])), list(enumerate(onto.entities))[1:], F.when(F.col("k") == 0, f(onto.entities[0])))
+    own = rows.select(
+        "doc_id", "chunk_idx", (F.col("ord") * len(onto.entities) + F.col("k")).alias("ord"), "pos", of_key(lambda e: F.lit(e.key)).alias("key"), "book",
+        pages.alias("pages"), clean_name(_text("v", "name")).alias("name"), of_key(resolve_class).alias("class"), "v",
+    )
+    return own.where("name is not null").withColumn("slug", slug(F.col("name"))).where("slug <> ''")
 
 
 def resolve_class(e: Entity, v: str = "v") -> Column:
@@ -88,12 +91,33 @@ def type_conflicts(folded: DataFrame) -> DataFrame:
 
 def field_triples(found: DataFrame, e: Entity) -> DataFrame:
     """doc_id, s, p, o, o_kind, datatype of one entity key's fields: an unpivot by the field map."""
-    rows = found.where(F.col("key") == e.key).select("doc_id", F.explode(field_array(e)).alias("t"))
+    rows = with_values(found.where(F.col("key") == e.key), (e,)).select("doc_id", F.explode(field_array(e)).alias("t"))
     return rows.select("doc_id", "t.*").where("o is not null and o <> ''")
 
 
+def with_values(found: DataFrame, of: tuple[Entity, ...]) -> DataFrame:
+    """Objects with what field_array reads of them as columns, so each field is read and cleaned once: `_one_` and `_many_` and its name.
+
+    A field is read of objects whose key has it, and null of the others.
+    """
+    one, many = {}, {"aliases": [e.key for e in of]}
+    for e in of:
+        for f in e.fields:
+            (many if _listed(f) else one).setdefault(f.name, []).append(e.key)
+    has = lambda keys: F.col("key").isin(*keys)
+    read = found.withColumns({f"_raw_{n}": F.when(has(keys), _text("v", n)) for n, keys in one.items()})
+    return read.withColumns({
+        **{f"_one_{n}": clean_name(F.col(f"_raw_{n}")) for n in one},
+        **{f"_many_{n}": F.filter(F.transform(F.when(has(keys), _items("v", n)), clean_name), lambda x: x.isNotNull()) for n, keys in many.items()},
+    })
+
+
+def _listed(f: Field) -> bool:
+    return f.kind == "list" or f.kind.endswith("_list")
+
+
 def field_array(e: Entity) -> Column:
-    """All triples of an object's fields as one array; some have a null or empty object."""
+    """All triples of an object's fields as one array, from the columns of with_values; some have a null or empty object."""
     me = F.col("slug")
     row = lambda s, p, o, kind, datatype: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(datatype).cast("string").alias("datatype"))
     # these take the field first: a lambda of two parameters would get the place in the array as its second
@@ -103,11 +127,7 @@ def field_array(e: Entity) -> Column:
     of_kind = lambda k: lambda r: (F.lower(F.trim(F.coalesce(r["type"], F.lit("other")))) == k) & clean_name(r["target"]).isNotNull()
     parts = []
     for f in e.fields:
-        text, items = _text("v", f.name), _items("v", f.name)
-        value = clean_name(text)
-        each = F.filter(F.transform(items, clean_name), lambda x: x.isNotNull())
-        other = F.filter(F.transform(each, slug), lambda x: x != "")
-        target = F.filter(F.array(slug(value)), lambda x: x.isNotNull() & (x != ""))
+        text, value, each = F.col(f"_raw_{f.name}"), F.col(f"_one_{f.name}"), F.col(f"_many_{f.name}")
         if f.kind == "literal":
             parts.append(F.array(row(me, f.predicate, value, "lit", "string")))
         elif f.kind == "enum":
@@ -117,7 +137,7 @@ def field_array(e: Entity) -> Column:
         elif f.kind == "list":
             parts.append(F.transform(each, value_rows(f.predicate)))
         else:
-            ends = other if f.kind.endswith("_list") else target
+            ends = F.filter(F.transform(each, slug) if _listed(f) else F.array(slug(value)), lambda x: x.isNotNull() & (x != ""))
             way = f.kind.removesuffix("_list")
             if way in ("out", "both"):
                 parts.append(F.transform(ends, out_rows(f.predicate)))
@@ -130,7 +150,7 @@ def field_array(e: Entity) -> Column:
             parts.append(F.transform(ends, out_rows(p)))
             if both:
                 parts.append(F.transform(ends, in_rows(p)))
-    alias = F.filter(F.transform(_items("v", "aliases"), clean_name), lambda x: x.isNotNull() & (x != F.col("name")))
+    alias = F.filter("_many_aliases", lambda x: x != F.col("name"))
     parts.append(F.transform(alias, lambda x: row(me, "alias", x, "lit", "string")))
     return F.concat(*parts)
 
@@ -152,8 +172,9 @@ def quads(extracted: DataFrame, onto: Ontology) -> DataFrame:
     pages = F.when(F.size("pages") > 0, F.col("pages")).otherwise(F.array(F.lit(NO_PAGE)))
     seen = F.flatten(F.transform(pages, lambda p: F.array(t(me, "hasMention", node(p), "iri"), t(node(p), "inBook", book, "iri"), t(node(p), "atPage", F.when(p != NO_PAGE, p), "lit"))))
     named = F.array(t(me, "label", F.col("name"), "lit"), t(me, "mentionedIn", book, "iri"))
-    of = [found.where(F.col("key") == e.key).select("doc_id", F.explode(F.concat(named, seen, field_array(e))).alias("t")) for e in onto.entities]
-    rows = reduce(DataFrame.unionByName, [d.select("doc_id", "t.*") for d in (types, *of)])
+    fields = F.coalesce(*[F.when(F.col("key") == e.key, field_array(e)) for e in onto.entities])
+    own = with_values(found, onto.entities).select("doc_id", F.explode(F.concat(named, seen, fields)).alias("t"))
+    rows = types.unionByName(own).select("doc_id", "t.*")
     return rows.where("o is not null and o <> ''").dropDuplicates()
 
 
@@ -166,4 +187,5 @@ def book_quads(books: DataFrame) -> DataFrame:
 
 def counts(rows: DataFrame) -> DataFrame:
     """doc_id, subjects (all), entities (labelled ones), triples."""
-    return rows.groupBy("doc_id").agg(F.countDistinct("s").alias("subjects"), F.countDistinct(F.when(F.col("p") == "label", F.col("s"))).alias("entities"), F.count("*").alias("triples"))
+    of_subject = rows.groupBy("doc_id", "s").agg(F.max(F.coalesce(F.col("p") == "label", F.lit(False))).alias("labelled"), F.count("*").alias("n"))
+    return of_subject.groupBy("doc_id").agg(F.count("s").alias("subjects"), F.count_if("labelled").alias("entities"), F.sum("n").alias("triples"))

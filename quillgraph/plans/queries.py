@@ -13,6 +13,7 @@ from ..operators import evaluate as E
 from ..operators import extraction as X
 from ..operators import graph as G
 from ..operators import mapping as M
+from ..session import partitions
 from ..sources import store, tabular
 from ..streaming import state as S
 from .ontology import Entity, Field, Ontology
@@ -299,7 +300,7 @@ FIELDS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_ord
 
 def _extracted(spark: SparkSession, d: str) -> DataFrame:
     """Orders as extracted JSON: a chunk for each order, a document for some customers, some replies broken or empty."""
-    o = table(spark, d, "orders")
+    o = table(spark, d, "orders").repartition(partitions(spark), "o_orderkey")  # replies come in many files; this table may be one row group
     text = lambda c: F.col(c).cast("string")
     order = F.struct(
         F.concat(F.lit("Order "), text("o_orderkey")).alias("name"), F.col("o_orderstatus").alias("status"), text("o_orderkey").alias("total"), F.col("o_orderpriority").alias("priority"), F.year("o_orderdate").alias("year"),

@@ -32,3 +32,8 @@ def importable(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+def partitions(spark: SparkSession) -> int:
+    """How many tasks rows are dealt to before work that is dear for its bytes: adaptive plans would join small partitions again."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
