@@ -206,10 +206,13 @@ def _typed(g: Graph, ends: DataFrame, far: str) -> DataFrame:
 
 
 def entity_edges(g: Graph, entities: DataFrame) -> DataFrame:
-    """s, p, dir, other (label), types: links both ways; a loop shows once each way."""
+    """s, p, dir, other (label), types: links both ways; a loop shows once each way.
+
+    The entities are distinct, so plain joins keep the same links as semi-joins, which would be repeated for each part of a union of edges.
+    """
     own = entities.select("s").distinct()
-    out = g.edges.join(own, "s", "left_semi").select("s", "p", F.lit("out").alias("dir"), F.col("o").alias("far"))
-    back = g.edges.join(own.select(F.col("s").alias("o")), "o", "left_semi").select(F.col("o").alias("s"), "p", F.lit("in").alias("dir"), F.col("s").alias("far"))
+    out = g.edges.join(own, "s").select("s", "p", F.lit("out").alias("dir"), F.col("o").alias("far"))
+    back = g.edges.join(own.select(F.col("s").alias("o")), "o").select(F.col("o").alias("s"), "p", F.lit("in").alias("dir"), F.col("s").alias("far"))
     return _typed(g, out.unionByName(back), "far").groupBy("s", "p", "dir", "other").agg(F.array_sort(F.collect_set("type")).alias("types"))
 
 
@@ -273,7 +276,7 @@ def nearest_first(g: Graph, entity: str, predicate: str = "contains") -> DataFra
 def induced_edges(g: Graph, nodes: DataFrame, predicate: str = "contains") -> DataFrame:
     """s, o: links with both ends among the nodes (column s)."""
     own = nodes.select("s").distinct()
-    return g.edges.where(F.col("p") == predicate).join(own, "s", "left_semi").join(own.select(F.col("s").alias("o")), "o", "left_semi").select("s", "o")
+    return g.edges.where(F.col("p") == predicate).join(own, "s", "left_semi").join(own.select(F.col("s").alias("o")), "o").select("s", "o")
 
 
 def children(g: Graph, depth: str = "direct") -> DataFrame:
