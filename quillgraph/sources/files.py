@@ -77,8 +77,25 @@ def submitted(requests: DataFrame, state: DataFrame) -> DataFrame:
     return out.withColumn("error", F.coalesce(submission_error(F.col("edition"), F.col("canon_type")), F.when(F.col("_k").isNotNull(), F.lit("already submitted")))).drop("_k")
 
 
+def pages_of(doc_id: str, content: bytes | None, opened) -> list[tuple[str, int, str]]:
+    """doc_id, page_no, markdown of one PDF; `opened` makes a sequence of pages of its bytes. A page that can't be read has a note instead, and a
+    file that can't be opened is one page with a note: neither fails the others' job."""
+    try:
+        pdf = opened(bytes(content or b""))
+    except Exception as e:  # noqa: BLE001
+        return [(doc_id, 1, f"[file could not be opened: {type(e).__name__}]")]
+    rows = []
+    with pdf:
+        for k in range(len(pdf)):
+            try:
+                rows.append((doc_id, k + 1, pdf[k].get_text()))
+            except Exception:  # noqa: BLE001
+                rows.append((doc_id, k + 1, f"[page {k + 1} could not be read]"))
+    return rows
+
+
 def converted(files: DataFrame) -> DataFrame:
-    """doc_id, page_no, markdown of PDF files, if a PDF library is installed; a page that can't be read has a note instead."""
+    """doc_id, page_no, markdown of PDF files, if a PDF library is installed; see pages_of for what can't be read."""
     try:
         import fitz  # noqa: F401
     except ImportError as e:
@@ -88,14 +105,7 @@ def converted(files: DataFrame) -> DataFrame:
         import fitz
 
         for batch in batches:
-            rows = []
-            for doc_id, content in zip(batch["document_id"], batch["content"], strict=True):
-                with fitz.open(stream=bytes(content), filetype="pdf") as pdf:
-                    for k in range(len(pdf)):
-                        try:
-                            rows.append((doc_id, k + 1, pdf[k].get_text()))
-                        except Exception:  # noqa: BLE001
-                            rows.append((doc_id, k + 1, f"[page {k + 1} could not be read]"))
+            rows = [r for d, c in zip(batch["document_id"], batch["content"], strict=True) for r in pages_of(d, c, lambda data: fitz.open(stream=data, filetype="pdf"))]
             yield pd.DataFrame(rows, columns=["doc_id", "page_no", "markdown"])
 
     return files.select("document_id", "content").mapInPandas(run, "doc_id string, page_no int, markdown string")

@@ -246,3 +246,31 @@ def test_scores(spark):
     df = lambda *x: spark.createDataFrame([("q", i) for i in x], "question string, item string")
     r = E.score(df("A ", "b", "c"), df("a", "B", "d")).first()
     assert (r["precision"], r["recall"], r["f1"], r["hits"], r["extra"], r["missed"]) == (0.6667, 0.6667, 0.6667, 2, 1, 1)
+
+
+class FakePdf(list):
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+
+class FakePage:
+    def __init__(self, text):
+        self.text = text
+
+    def get_text(self):
+        if self.text is None:
+            raise ValueError("broken page")
+        return self.text
+
+
+def test_pdf_pages_and_files_that_cannot_be_read_have_notes():
+    def opened(data):
+        if not data:
+            raise ValueError("no file")
+        return FakePdf(FakePage(t) for t in ("one", None, "three"))
+
+    assert files.pages_of("d", b"x", opened) == [("d", 1, "one"), ("d", 2, "[page 2 could not be read]"), ("d", 3, "three")]
+    assert files.pages_of("d", None, opened) == [("d", 1, "[file could not be opened: ValueError]")]
