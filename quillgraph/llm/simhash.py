@@ -10,7 +10,8 @@ the other; and whatever lies within 2 bits of a point that has a member within 1
 members to its smallest near member, so rows stay in proportion to the members.
 
 Nulls: a null text counts as empty; an empty text's fingerprint is 0, linked like any other; rows whose id is null get a fingerprint
-and no component. Repeated rows are kept. An empty table gives an empty table.
+and no component. Repeated rows are kept. An empty table gives an empty table. Whole numbers are ids as longs, others (such as texts) as
+they are: links connect fingerprints, so an id has only to be ordered.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._tables import Cut, pieces, plain, ragged
 from .components import connected_components
@@ -139,7 +141,9 @@ def fingerprints_of(texts: pa.Array, width: int = 3) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """id (long), fp (long, the 64 bits as a signed number), for each row."""
+    """i (the id: a long for whole numbers, else of its own type), fp (long, the 64 bits as a signed number), for each row."""
+    kind = docs.schema[id_col].dataType
+    kind = T.LongType() if isinstance(kind, T.IntegralType) else kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +151,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fp = fingerprints_of(part.column("t"), width).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(fp)], names=["i", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, "i long, fp long")
+    return docs.select(F.col(id_col).cast(kind).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, T.StructType([T.StructField("i", kind), T.StructField("fp", T.LongType())]))
 
 
 def _masks(bits: int) -> list[int]:
@@ -271,9 +275,13 @@ def links(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, crowd: int = CROWD) -> DataFrame:
     """A row per input row: id, fp (long), component (smallest id that links reach, its own included)."""
     fps = Cut(fingerprints(docs, id_col, text_col, width), "fingerprints").df
-    classes = Cut(fps.where("i is not null").groupBy("fp").agg(F.min("i").alias("rep")), "classes").df
-    comps = connected_components(links(classes, crowd)).df
-    of_class = classes.join(comps, classes.rep == comps.node, "left").select(F.col("fp").bitwiseXOR(F.lit(0).cast("long")).alias("k"), F.coalesce("component", "rep").alias("component"))
+    classes = Cut(fps.where("i is not null").groupBy("fp").agg(F.min("i").alias("first")), "classes").df
+    comps = connected_components(links(classes.select("fp", F.col("fp").alias("rep")), crowd)).df
+    comps = comps.unionByName(comps.select(F.col("component").alias("node"), "component").distinct())  # the smallest nodes themselves
+    linked = classes.join(comps, classes.fp == comps.node).select("node", "first", F.col("component").alias("root"))
+    least = linked.groupBy("root").agg(F.min("first").alias("component")).select(F.col("root").bitwiseXOR(F.lit(0).cast("long")).alias("r"), "component")
+    reached = linked.join(least, linked.root == least.r).select("node", "component")
+    of_class = classes.join(reached, classes.fp == reached.node, "left").select(F.col("fp").bitwiseXOR(F.lit(0).cast("long")).alias("k"), F.coalesce("component", "first").alias("component"))
     out = fps.join(of_class, fps.fp == of_class.k, "left")
     return out.select(F.col("i").alias(id_col), "fp", F.when(F.col("i").isNotNull(), F.col("component")).alias("component"))
 

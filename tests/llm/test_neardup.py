@@ -175,6 +175,18 @@ def test_simhash_null_ids_repeats_empty_and_keep_first(spark):
     assert simhash.near_duplicates(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("crowd", [0, 2000])
+def test_simhash_ids_of_text(spark, crowd):
+    """Ids that are no numbers, of near texts whose smallest id isn't that of the smallest fingerprint."""
+    rows = [(f"doc-{i}", t) for i, t in near_texts(6)]
+    df = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id string, text string")
+    fps = {i: brute_fingerprint(t) for i, t in rows}
+    comp = classes_of(fps, [(a, b) for a, b in itertools.combinations(fps, 2) if (fps[a] ^ fps[b]).bit_count() <= 3])
+    got = simhash.near_duplicates(df, crowd=crowd).where("doc_id is not null").collect()
+    assert {r["doc_id"]: r["component"] for r in got} == comp and len(got) == len(rows) and len(set(comp.values())) < len(set(fps.values()))
+    assert sorted(r["doc_id"] or "" for r in simhash.keep_first(df).collect()) == ["", *sorted(set(comp.values()))]
+
+
 def test_cuts_are_dropped(spark):
     from quillgraph.llm._tables import Cut, scope
 
