@@ -20,6 +20,8 @@ from ..session import partitions
 CHUNKS = "doc_id string, chunk_idx int, sub_index int, text string, title string, page int, level int, token_count int, parent_index int, hierarchy array<string>"
 TOC_LINE = r"^\s*(?:\|\s*)?(?:[-*+]\s+)?(?:\*\*)?(.+?)(?:\*\*)?\s*(?:\.{2,}|\s\|\s|\s{2,}|\t)[\s.|]*(\d{1,4})\s*\|?\s*$"
 LEAST_TOKENS = 10
+#: Characters of chunks that a worker gives in one batch, or one document's.
+BATCH_CHARS = 4 << 20
 
 
 def budget(context: int, overhead: int = 700) -> tuple[int, int]:
@@ -201,19 +203,30 @@ def split_large(s: dict, most: int, count: Callable[[str], int] = count_tokens)
 
 
 def chunks(found: DataFrame, context: int = 4096, overhead: int = 700, count: Callable[[str], int] = count_tokens) -> DataFrame:
-    """Chunks of sections: hierarchy, small ones merged, large ones split. One document is one group: its sections are read in order."""
+    """Chunks of sections: hierarchy, small ones merged, large ones split. A document's sections are one row, as they are read in order; a worker
+    takes rows by the batch and makes each document's chunks before the next one's."""
     least, most = budget(context, overhead)
+    names = ("section", "title", "level", "page", "text", "token_count")
 
-    def run(pdf):
-        import pandas as pd
-
-        rows = pdf.sort_values("section").astype(object).where(lambda x: x.notna(), None).to_dict("records")
-        made = [p for s in merge_small(with_hierarchy(rows), least, most) for p in split_large(s, most, count)]
-        out = [(s["doc_id"], k, s["sub_index"], s["text"], s["title"], s["page"], s["level"], s["token_count"], s["parent_index"], s["hierarchy"]) for k, s in enumerate(made)]
-        names = [c.split()[0] for c in CHUNKS.split(", ")]
-        return pd.DataFrame(out, columns=names).astype({c: "Int32" for c in ("sub_index", "page", "level", "parent_index")})
+    def run(batches):
+        import pyarrow as pa
 
-    return found.select("doc_id", "section", "title", "level", "page", "text", "token_count").groupBy("doc_id").applyInPandas(run, CHUNKS)
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+        fields = pa.schema(list(zip([c.split()[0] for c in CHUNKS.split(", ")], kinds, strict=True)))
+        for batch in batches:
+            out, held = [], 0
+            for d, rows in zip(batch.column("doc_id"), batch.column("rows"), strict=True):
+                made = [p for s in merge_small(with_hierarchy(rows.as_py()), least, most) for p in split_large(s, most, count)]
+                out += [(d.as_py(), k, s["sub_index"], s["text"], s["title"], s["page"], s["level"], s["token_count"], s["parent_index"], s["hierarchy"]) for k, s in enumerate(made)]
+                held += sum(len(s["text"] or "") for s in made)
+                if held > BATCH_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], schema=fields)
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], schema=fields)
+
+    rows = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("rows"))
+    return rows.mapInArrow(run, CHUNKS)
 
 
 def manifest(labelled: DataFrame) -> DataFrame:

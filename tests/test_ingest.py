@@ -88,6 +88,20 @@ def test_sections_and_chunks(spark):
     assert made and all(r["token_count"] <= 256 for r in made)
 
 
+def test_chunks_are_made_by_the_batch(spark):
+    """A call for each document would cost milliseconds for each page; whole documents are rows of a batch, and none takes another's sections."""
+    docs = spark.range(300).select(F.col("id").cast("string").alias("doc_id"), F.concat(F.lit("# A\n\n"), F.expr("repeat('one two three four five six ', 4)"), F.lit("\n\n## B\n\n"), F.expr("repeat('word ', 20)"), F.col("id").cast("string")).alias("text"))
+    made = C.chunks(C.sections(C.classified(C.lines(docs))))
+    assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in made.collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert len(got) == 300
+    for d, own in got.items():
+        own.sort(key=lambda r: r["chunk_idx"])
+        assert own[0]["title"] == "A" and own[0]["hierarchy"] == ["A"] and own[-1]["text"].endswith(f" {d}") and [r["chunk_idx"] for r in own] == list(range(len(own)))
+
+
 def test_hierarchy_merge_split():
     items = C.with_hierarchy([{"level": k, "title": t, "text": t, "token_count": 20} for k, t in ((1, "A"), (2, "B"), (3, "C"), (2, "D"))])
     assert [s["parent_index"] for s in items] == [None, 0, 1, 0] and items[2]["hierarchy"] == ["A", "B", "C"]
