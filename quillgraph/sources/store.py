@@ -84,18 +84,22 @@ def export_nquads(quads: DataFrame, path: str) -> None:
     quad_lines(quads).write.mode("overwrite").option("compression", "gzip").text(path)
 
 
-FORM = r'^<([^>]*)> <([^>]*)> (?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>)?) <([^>]*)> \.$'
+#: Without a way back inside a literal, however long it is. Its parts are s, p, o of an IRI, o of a literal, datatype, doc_id.
+FORM = r'^<([^>]*)> <([^>]*)> (?:<([^>]*)>|"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:\^\^<([^>]*)>)?) <([^>]*)> \.(?:\r\n|[\n\r\u0085\u2028\u2029])?$'
+#: A line's parts with ">" between them, which no IRI holds, and the literal last. A comment's mark is before them: no other line begins with one.
+PARTS = "#$6>$1>$2>$3>$5>$4"
 
 
 def parse_nquads(lines: DataFrame) -> DataFrame:
     """Quads of lines; blank lines and comments are passed over. A line of another form fails the job: nothing is left out silently."""
-    part = lambda k: F.regexp_extract("line", FORM, k)
-    iri = part(3) != ""
     value = F.trim("value")
-    bad = F.raise_error(F.concat(F.lit("no N-Quads line: "), F.substring(value, 1, 200)))
-    rows = lines.where((value != "") & ~value.startswith("#")).select(F.when(value.rlike(FORM), value).otherwise(bad.cast("string")).alias("line"))
+    bad = F.raise_error(F.concat(F.lit("no N-Quads line: "), F.substring("value", 1, 200)))
+    rows = lines.select(value.alias("value")).where((F.col("value") != "") & ~F.startswith("value", F.lit("#"))).select("value", F.regexp_replace("value", FORM, PARTS).alias("line"))
+    rows = rows.select(F.when(F.startswith("line", F.lit("#")), F.split(F.substring("line", 2, 2147483647), ">", 6)).otherwise(bad.cast("array<string>")).alias("x"))
+    part = lambda k: F.col("x")[k]
+    iri = part(3) != ""
     return rows.select(
-        part(6).alias("doc_id"), part(1).alias("s"), part(2).alias("p"), F.when(iri, part(3)).otherwise(_unescaped(part(4))).alias("o"), F.when(iri, "iri").otherwise("lit").alias("o_kind"), F.when(part(5).endswith("#integer"), "integer").when(~iri, "string").alias("datatype")
+        part(0).alias("doc_id"), part(1).alias("s"), part(2).alias("p"), F.when(iri, part(3)).otherwise(_unescaped(part(5))).alias("o"), F.when(iri, "iri").otherwise("lit").alias("o_kind"), F.when(part(4).endswith("#integer"), "integer").when(~iri, "string").alias("datatype")
     )
 
 
