@@ -321,13 +321,13 @@ KEPT = "(SELECT *, 'Order_' || o_orderkey AS me, 'doc' || (o_custkey % 50) AS do
     graph=False,
 )
 def unpivot_literals(spark, d):
-    found = M.entities(_extracted(spark, d), ORDERS)
-    return M.field_triples(found, ORDERS.entities[0]).where("o_kind = 'lit'").select("doc_id", "s", "p", "o", "datatype").distinct()
+    said = {f.predicate for f in ORDERS.entities[0].fields if f.kind in ("literal", "enum", "integer", "list")} | {"alias"}
+    return M.quads(_extracted(spark, d), ORDERS, said.__contains__, ("orders",)).where("o_kind = 'lit'").select("doc_id", "s", "p", "o", "datatype")
 
 
 @query(f"SELECT DISTINCT doc_id, s, o FROM (SELECT doc_id, me AS s, 'Order_' || (o_orderkey + 1) AS o FROM {KEPT} UNION ALL SELECT doc_id, 'Order_' || (o_orderkey + 1), me FROM {KEPT})", graph=False)
 def symmetric_edges(spark, d):
-    return M.field_triples(M.entities(_extracted(spark, d), ORDERS), ORDERS.entities[0]).where("p = 'peerOf'").select("doc_id", "s", "o").distinct()
+    return M.quads(_extracted(spark, d), ORDERS, ("peerOf",).__contains__, ("orders",)).select("doc_id", "s", "o")
 
 
 @query(
@@ -335,7 +335,7 @@ def symmetric_edges(spark, d):
     graph=False,
 )
 def typed_relationships(spark, d):
-    return M.field_triples(M.entities(_extracted(spark, d), ORDERS), ORDERS.entities[0]).where("p in ('alliedWith', 'enemyOf')").select("doc_id", "s", "p", "o").distinct()
+    return M.quads(_extracted(spark, d), ORDERS, ("alliedWith", "enemyOf").__contains__, ("orders",)).select("doc_id", "s", "p", "o")
 
 
 def _arrivals(spark: SparkSession, d: str) -> DataFrame:

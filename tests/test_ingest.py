@@ -35,6 +35,27 @@ def test_mapping(spark):
     assert {o for s, p, o in got if p == "atPage"} == {"3", "4"} and not [x for x in got if "Baz" in x[2] or x[2] in ("n/a", "unknown")] and len([1 for s, p, o in got if p == "alias"]) == 1
 
 
+def test_quads_come_once(spark):
+    """Of one object, of several of an entity in a document, and of links that two entities give from both ends."""
+    kept = ("label", "holds", "produces", "twinOf", "ruledBy", "hasMention", "atPage", "type")
+    a = {"name": "Aa", "type": "city", "ruler": "Bo", "rulers": ["Bo", "Bo"], "products": ["Wine", "Wine"], "holder": "Cy", "twin": ["Bb", "Bb", "Aa"], "page_references": ["1", "1"]}
+    b = {"name": "Bb", "twin": ["Aa"], "page_references": ["1"]}
+    rows = [(d, k, k, "7", "book/One", json.dumps(x)) for d in ("d1", None) for k, x in enumerate([{"places": [a, a]}, {"places": [a, b]}, {"people": [{"name": "Bo", "title": "Sir"}]}])]
+    df = spark.createDataFrame(rows, "doc_id string, chunk_idx int, ord long, page string, book string, body string")
+    got = [tuple(r) for r in M.quads(df, ONTO).select("doc_id", "s", "p", "o", "o_kind", "datatype").collect()]
+    assert len(got) == len(set(got)) and {d for d, *_ in got} == {"d1", None} and {(s, o) for _, s, p, o, *_ in got if p == "ruledBy"} == {("Aa", "Bo")} and {s for _, s, p, *_ in got if p == "title"} == {"Bo"}
+    for p in {p for _, _, p, *_ in got} | set(kept):
+        some = [tuple(r) for r in M.quads(df, ONTO, (p,).__contains__).select("doc_id", "s", "p", "o", "o_kind", "datatype").collect()]
+        assert sorted(map(repr, some)) == sorted(repr(x) for x in got if x[2] == p), p
+
+
+def test_quads_of_single_objects_are_not_shuffled(spark):
+    rows = [("d1", k, k, "7", "book/One", json.dumps({"places": [{"name": f"N{k}", "products": ["Wine"]}]})) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id string, chunk_idx int, ord long, page string, book string, body string")
+    made = M.quads(df, ONTO, ("label", "produces", "hasMention").__contains__)
+    assert made.count() == 60 and "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("body", ["not json", "[1, 2]", "", '{"places": "text"}', '{"places": [{"name": "n/a"}, {"name": null}, {}]}', '{"other": [{"name": "x"}]}'])
 def test_mapping_takes_broken_replies(spark, body):
     assert mapped(spark, body) == set()
@@ -90,7 +111,7 @@ def test_sections_and_chunks(spark):
 
 def test_chunks_are_made_by_the_batch(spark):
     """A call for each document would cost milliseconds for each page; whole documents are rows of a batch, and none takes another's sections."""
-    docs = spark.range(300).select(F.col("id").cast("string").alias("doc_id"), F.concat(F.lit("# A\n\n"), F.expr("repeat('one two three four five six ', 4)"), F.lit("\n\n## B\n\n"), F.expr("repeat('word ', 20)"), F.col("id").cast("string")).alias("text"))
+    docs = spark.range(300).select(F.col("id").cast("string").alias("doc_id"), F.concat(F.lit("# Alpha\n\n"), F.expr("repeat('one two three four five six ', 4)"), F.lit("\n\n## Beta\n\n"), F.expr("repeat('word ', 20)"), F.col("id").cast("string")).alias("text"))
     made = C.chunks(C.sections(C.classified(C.lines(docs))))
     assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
     got = {}
@@ -99,7 +120,7 @@ def test_chunks_are_made_by_the_batch(spark):
     assert len(got) == 300
     for d, own in got.items():
         own.sort(key=lambda r: r["chunk_idx"])
-        assert own[0]["title"] == "A" and own[0]["hierarchy"] == ["A"] and own[-1]["text"].endswith(f" {d}") and [r["chunk_idx"] for r in own] == list(range(len(own)))
+        assert own[0]["title"] == "Alpha" and own[0]["hierarchy"] == ["Alpha"] and own[-1]["text"].endswith(f" {d}") and [r["chunk_idx"] for r in own] == list(range(len(own)))
 
 
 def test_hierarchy_merge_split():
@@ -234,6 +255,8 @@ def test_store(spark, tmp_path):
     odd = spark.createDataFrame([("d", "s", "label", x, "lit", "string") for x in ("a\\nb", "a\nb", "\r\t", "\\", '\\"', '"\\\\n"')], store.QUADS)
     assert sorted(map(repr, store.parse_nquads(store.quad_lines(odd)).select(*odd.columns).collect())) == sorted(map(repr, odd.collect()))
     assert store.parse_nquads(spark.createDataFrame([("",), ("# note",)], "value string")).collect() == []
+    long = '\\"a>b' * 100_000  # a literal of any length, with marks of an IRI in it
+    assert [len(r["o"]) for r in store.parse_nquads(spark.createDataFrame([(f'<a> <b> "{long}" <c> .',)], "value string")).collect()] == [400_000]
     with pytest.raises(Exception, match="no N-Quads line"):
         store.parse_nquads(spark.createDataFrame([("<a> <b> c",)], "value string")).collect()
     store.drop_document(spark, path, "d1")
